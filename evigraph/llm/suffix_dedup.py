@@ -20,8 +20,10 @@ from .parity_join import MIX2, ODD, mix
 
 LEAST = 400
 GRAM = 64
-#: Neighbourhoods of one anchor string that are compared in memory; beyond, hashes of their strings are counted instead.
-MOST_IN_MEMORY = 1500
+#: Neighbourhoods of one anchor string that are compared in memory (some 50 MB); beyond, hashes of their strings are counted instead.
+MOST_IN_MEMORY = 50_000
+#: Groups up to this size are compared by a matrix of common lengths.
+SMALL_GROUP = 48
 BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 
 
@@ -119,11 +121,16 @@ def common_prefix(a: bytes, b: bytes) -> int:
     return n - ((x ^ y).bit_length() + 7) // 8
 
 
+def neighbours_common(rows: list[bytes], order: list[int]) -> np.ndarray:
+    """Common prefix lengths of neighbours in sorted order."""
+    return np.array([common_prefix(rows[a], rows[b]) for a, b in zip(order[:-1], order[1:], strict=True)], np.int32)
+
+
 def pairwise_common(rows: list[bytes]) -> np.ndarray:
     """Common prefix lengths of all rows: minima of those of neighbours in sorted order."""
     order = multikey_quicksort(rows)
     g = len(rows)
-    next_ = np.array([common_prefix(rows[a], rows[b]) for a, b in zip(order[:-1], order[1:], strict=True)], np.int32)
+    next_ = neighbours_common(rows, order)
     out = np.zeros((g, g), np.int32)
     for i in range(g - 1):
         out[i, i + 1 :] = np.minimum.accumulate(next_[i:])
@@ -133,20 +140,66 @@ def pairwise_common(rows: list[bytes]) -> np.ndarray:
     return out[np.ix_(back, back)]
 
 
+class RangeMinimum:
+    """Minima of spans of an array, from minima of spans whose lengths are powers of two."""
+
+    def __init__(self, values: np.ndarray):
+        self.levels = [values]
+        while 2 << (len(self.levels) - 1) <= len(values):
+            last, half = self.levels[-1], 1 << (len(self.levels) - 1)
+            self.levels.append(np.minimum(last[:-half], last[half:]))
+
+    def __call__(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Minima of values[a:b], b > a."""
+        k = np.frexp((b - a).astype(np.float64))[1] - 1
+        out = np.empty(len(a), np.int32)
+        for level in np.unique(k):
+            at, v = np.flatnonzero(k == level), self.levels[level]
+            out[at] = np.minimum(v[a[at]], v[b[at] - (1 << level)])
+        return out
+
+
 def extents(left: list[bytes], right: list[bytes], least: int = LEAST) -> tuple[np.ndarray, np.ndarray]:
     """For each neighbourhood, how far bytes left and right of its anchor lie in strings that another one has too.
 
     ``left`` is reversed. Strings of ``least`` bytes around two anchors are equal where l + r >= least of their common
     lengths; all of them hold the anchor, so the farthest ends bound what they cover.
     """
-    if len(left) == 2:
+    g = len(left)
+    if g == 1:
+        return np.zeros(1, np.int32), np.zeros(1, np.int32)
+    if g == 2:
         l, r = common_prefix(left[0], left[1]), common_prefix(right[0], right[1])
         hit = l + r >= least
         return np.array([l * hit] * 2), np.array([r * hit] * 2)
-    l, r = pairwise_common(left), pairwise_common(right)
-    hit = l + r >= least
-    np.fill_diagonal(hit, False)
-    return np.where(hit, l, 0).max(axis=1), np.where(hit, r, 0).max(axis=1)
+    if g <= SMALL_GROUP:
+        l, r = pairwise_common(left), pairwise_common(right)
+        hit = l + r >= least
+        np.fill_diagonal(hit, False)
+        return np.where(hit, l, 0).max(axis=1), np.where(hit, r, 0).max(axis=1)
+    # Suffixes with at least r bytes in common are runs of the sorted order. Within a run, the longest common length to
+    # the left is that of neighbours in the left order. Each length r that occurs is tried once.
+    order, by_left = multikey_quicksort(right), multikey_quicksort(left)
+    r_next, l_least = neighbours_common(right, order), RangeMinimum(neighbours_common(left, by_left))
+    rank = np.empty(g, np.int64)
+    rank[by_left] = np.arange(g)
+    rank = rank[order]
+    lo, hi = np.zeros(g, np.int32), np.zeros(g, np.int32)
+    for r in np.unique(r_next):
+        run = np.r_[0, np.cumsum(r_next < r)]
+        at = np.lexsort((rank, run))
+        same = run[at[1:]] == run[at[:-1]]
+        one, two = at[:-1][same], at[1:][same]
+        if not len(one):
+            continue
+        l = l_least(rank[one], rank[two])
+        hit = l + r >= least
+        for x in (one[hit], two[hit]):
+            np.maximum.at(lo, x, l[hit])
+            hi[x] = np.maximum(hi[x], r)
+    out_lo, out_hi = np.zeros(g, np.int32), np.zeros(g, np.int32)
+    out_lo[order], out_hi[order] = lo, hi
+    return out_lo, out_hi
 
 
 def _keyed(docs: DataFrame) -> DataFrame:

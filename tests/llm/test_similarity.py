@@ -126,3 +126,19 @@ def test_cleaned_keeps_columns(docs):
 def test_multikey_quicksort():
     rows = [b"", b"a", b"ab", b"ab", b"abcdefgh", b"abcdefghi", b"abcdefgh\x00", b"\xff", b"b" * 40, b"b" * 41]
     assert [rows[i] for i in suffix_dedup.multikey_quicksort(rows)] == sorted(rows)
+
+
+def test_large_groups_equal_pairs():
+    """The sorted orders give what comparing all pairs gives."""
+    rng = np.random.default_rng(4)
+    for least in (12, 20):
+        pool = [bytes(rng.integers(97, 99, 30).astype(np.uint8)) for _ in range(12)]
+        cut = lambda: b"".join(pool[k][: int(rng.integers(1, 12))] for k in rng.integers(0, 12, 3))[:20]
+        left, right = [cut() for _ in range(150)], [cut() for _ in range(150)]
+        l, r = suffix_dedup.pairwise_common(left), suffix_dedup.pairwise_common(right)
+        for i, j in ((0, 1), (5, 90), (17, 140)):
+            assert l[i, j] == next((k for k, (x, y) in enumerate(zip(left[i], left[j])) if x != y), min(len(left[i]), len(left[j])))
+        hit = l + r >= least
+        np.fill_diagonal(hit, False)
+        lo, hi = suffix_dedup.extents(left, right, least)
+        assert (lo == np.where(hit, l, 0).max(axis=1)).all() and (hi == np.where(hit, r, 0).max(axis=1)).all() and hit.any()
