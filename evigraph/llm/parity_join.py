@@ -24,6 +24,10 @@ NUM, DEN = 80, 100
 MIX1, MIX2, ODD = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53), np.uint64(0x9E3779B97F4A7C15)
 #: Members of a shared cell that one comparison block holds.
 BLOCK = 256
+#: Rows (two numbers each) up to which the list of sets to read again is broadcast; a longer one is joined by shuffle.
+MOST_BROADCAST = 100_000
+#: Rounds that compare each cell's members with one of them, and first members that differ between cells in a round.
+ROUNDS, LEADS = 3, 8
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -77,8 +81,8 @@ def fingerprint(s: np.ndarray) -> int:
 
 
 def sketch(s: np.ndarray) -> bytes:
-    """Parity bits, at least twice as many as shingles, in a power of two; longer ones fold to shorter by halves."""
-    bits = max(64, 1 << (2 * len(s) - 1).bit_length()) if len(s) else 64
+    """Parity bits, at least eight times as many as shingles, in a power of two; longer ones fold to shorter by halves."""
+    bits = max(64, 1 << (8 * len(s) - 1).bit_length()) if len(s) else 64
     at = (mix(s ^ ODD) & np.uint64(bits - 1)).astype(np.int64)
     return np.packbits((np.bincount(at, minlength=bits) & 1).astype(np.uint8), bitorder="little").tobytes()
 
@@ -213,7 +217,9 @@ def near_by_sketch(pairs: DataFrame, nodes: DataFrame, num: int = NUM, den: int
 def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, words: int = WORDS, num: int = NUM, den: int = DEN) -> DataFrame:
     """Of the pairs (a, b), those whose sets reach the similarity, from the sets themselves."""
     wanted = pairs.select(F.col("a").alias("f")).union(pairs.select(F.col("b").alias("f"))).distinct()
-    first = nodes.join(wanted, "f").select("doc", "f")
+    first = materialize(nodes.join(wanted, "f").select("doc", "f"))
+    if first.count() <= MOST_BROADCAST:
+        first = F.broadcast(first)
 
     def sets(batches):
         make = shingler(words)
@@ -249,15 +255,27 @@ def _label(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return nodes.join(found, "f", "left").select("f", F.coalesce("component", "f").alias("c"))
 
 
-def _unresolved(members: DataFrame, label: DataFrame, nodes: DataFrame, num: int, den: int, block: int = BLOCK) -> DataFrame:
+def _open(members: DataFrame, label: DataFrame) -> DataFrame:
+    """Members (key, f, c, m) of cells that hold m > 2 sets of more than one component."""
+    rows = members.join(label, "f")
+    cells_ = rows.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("m")).filter("lo < hi AND m > 2")
+    return rows.join(cells_.select("key", "m"), "key")
+
+
+def _stars(rows: DataFrame, seed: int) -> DataFrame:
+    """Pairs (a, b) of each cell's members with the one of them that comes first in one of LEADS orders."""
+    order = F.xxhash64(F.col("f"), F.pmod(F.col("key"), F.lit(LEADS)), F.lit(seed))
+    lead = rows.groupBy("key").agg(F.min(F.struct(order.alias("h"), F.col("f").alias("lead"), *([F.col("c").alias("lead_c")] if "c" in rows.columns else []))).alias("x")).select("key", "x.*")
+    pairs = rows.join(lead, "key").filter("f <> lead" + (" AND c <> lead_c" if "c" in rows.columns else ""))
+    return pairs.select(F.least("lead", "f").alias("a"), F.greatest("lead", "f").alias("b")).distinct()
+
+
+def _exhaustive(open_: DataFrame, nodes: DataFrame, num: int, den: int, block: int = BLOCK) -> DataFrame:
     """Pairs within a cell whose sets are in different components so far and pass the sketch test.
 
-    Cells whose members are in one component drop out first; a large cell is dealt into pairs of blocks, so a task holds
-    two blocks at a time and nothing is left out.
+    A large cell is dealt into pairs of blocks, so a task holds two blocks at a time and nothing is left out.
     """
-    rows = members.join(label, "f")
-    open_ = rows.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("m")).filter("lo < hi AND m > 2")
-    rows = rows.join(open_.select("key", F.ceil(F.col("m") / block).cast("int").alias("blocks")), "key")
+    rows = open_.withColumn("blocks", F.ceil(F.col("m") / block).cast("int"))
     own = F.pmod(F.xxhash64("f"), F.col("blocks").cast("bigint")).cast("int")
     rows = rows.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     rows = rows.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "f", "c").join(nodes.select("f", "n", "sk"), "f")
@@ -302,16 +320,23 @@ def link_components(docs: DataFrame, words: int = WORDS, num: int = NUM, den: in
     marks = materialize(fingerprints(docs, words))
     nodes = materialize(marks.filter("f <> 0").groupBy("f").agg(F.min("doc_id").alias("doc"), F.first("n").alias("n"), F.first("sk").alias("sk")))
     parts = cells(docs, words, num, den).repartition("key")
-    shared = parts.groupBy("key").agg(F.min("f").alias("lead"), F.max("f").alias("last")).filter("lead < last")
-    members = materialize(parts.join(shared.select("key", "lead"), "key").select("key", "lead", "f").distinct())
-    # First each member with its cell's least member; then whatever is still in different components.
-    stars = members.filter("f <> lead").select(F.col("lead").alias("a"), F.col("f").alias("b")).distinct()
-    near = materialize(near_by_sketch(stars, nodes, num, den))
-    edges = materialize(verified(near, nodes, docs, words, num, den))
-    label = materialize(_label(nodes, edges))
-    rest = materialize(_unresolved(members.select("key", "f"), label, nodes, num, den).join(near, ["a", "b"], "left_anti"))
-    if not rest.isEmpty():
-        edges = materialize(edges.unionByName(verified(rest, nodes, docs, words, num, den)))
+    shared = parts.groupBy("key").agg(F.min("f").alias("lo"), F.max("f").alias("hi")).filter("lo < hi")
+    members = materialize(parts.join(shared.select("key"), "key").distinct())
+    # First each member with one of its cell; then, of cells still in several components, with others; then all the rest.
+    tried = edges = label = None
+    for k in range(ROUNDS + 1):
+        open_ = members if label is None else materialize(_open(members, label))
+        if label is not None and open_.isEmpty():
+            break
+        pairs = _stars(open_, k) if k < ROUNDS else _exhaustive(open_, nodes, num, den)
+        if k < ROUNDS:
+            pairs = near_by_sketch(pairs, nodes, num, den)
+        near = materialize(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"))
+        tried = near if tried is None else tried.unionByName(near)
+        if k and near.isEmpty():
+            continue
+        new = materialize(verified(near, nodes, docs, words, num, den))
+        edges = new if edges is None else edges.unionByName(new)
         label = materialize(_label(nodes, edges))
     named = nodes.select("f", "doc").join(label, "f")
     least = named.groupBy("c").agg(F.min("doc").alias("component_id"))

@@ -65,12 +65,14 @@ def test_blocks_find_what_stars_miss(spark):
     base = para(5, 200)
     rows = [(k, edited(base, [7 * k, 7 * k + 60, 90 + 3 * k][: 1 + k % 3])) for k in range(40)]
     docs = spark.createDataFrame(rows, "doc_id bigint, text string")
-    before = parity_join.BLOCK
-    parity_join._unresolved.__defaults__ = (3,)
+    before, rounds = parity_join.BLOCK, parity_join.ROUNDS
+    parity_join.ROUNDS = 1
+    parity_join._exhaustive.__defaults__ = (3,)
     try:
         got = {r.doc_id: r.component_id for r in parity_join.link_components(docs).collect()}
     finally:
-        parity_join._unresolved.__defaults__ = (before,)
+        parity_join._exhaustive.__defaults__ = (before,)
+        parity_join.ROUNDS = rounds
     assert got == {int(i): c for i, _, c in brute_components(rows)}
 
 
