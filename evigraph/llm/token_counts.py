@@ -10,7 +10,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import text_or_empty
-from .tokens import CACHE_LIMIT, LONGEST_KEPT, default_path, worker_encoder
+from .tokens import CACHE_LIMIT, LONGEST_KEPT, Cache, default_path, worker_encoder
+
+
+#: Pre-tokens a task counts before it forgets single ones.
+MOST_COUNTED = 400_000
 
 
 def frequent_lengths(docs: DataFrame, tokenizer_path: str | None = None, entries: int = 65_536, per_task: int = 20_000) -> dict[str, int]:
@@ -28,8 +32,8 @@ def frequent_lengths(docs: DataFrame, tokenizer_path: str | None = None, entries
                 for part, special in encoder.pieces(text):
                     if part is not None:
                         seen.update(encoder.split(part))
-                if len(seen) > CACHE_LIMIT:
-                    seen = Counter({k: v for k, v in seen.items() if v > 1} if len(seen) < 4 * CACHE_LIMIT else dict(seen.most_common(per_task)))
+                if len(seen) > MOST_COUNTED:
+                    seen = Counter({k: v for k, v in seen.items() if v > 1} if len(seen) < 4 * MOST_COUNTED else dict(seen.most_common(per_task)))
         top = [(k, v) for k, v in seen.most_common(per_task) if len(k) <= LONGEST_KEPT]
         yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in top], pa.string()), pa.array([v for _, v in top], pa.int64())], names=["piece", "n"])
 
@@ -39,21 +43,10 @@ def frequent_lengths(docs: DataFrame, tokenizer_path: str | None = None, entries
     return {r.piece: len(encoder.cache[r.piece]) // 4 for r in top}
 
 
-class _Lengths(dict):
-    """First tier: the broadcast table; second tier: what this worker has met since."""
-
-    def __init__(self, frequent, cache, limit):
-        super().__init__(frequent)
-        self.frequent, self.cache, self.limit = frequent, cache, limit
+class _Lengths(Cache):
+    """Second tier: lengths of what this worker has met; its seed is the first tier."""
 
-    def __missing__(self, piece: str) -> int:
-        ids = self.cache.tokenizer.encode(piece, add_special_tokens=False).ids
-        if len(piece) <= LONGEST_KEPT:
-            if len(self) >= self.limit:
-                self.clear()
-                self.update(self.frequent)
-            self[piece] = len(ids)
-        return len(ids)
+    made = staticmethod(len)
 
 
 _TIERS: dict[str, _Lengths] = {}
@@ -73,7 +66,7 @@ def token_counts(docs: DataFrame, tokenizer_path: str | None = None, limit: int
         encoder = worker_encoder(path)
         if key not in _TIERS:
             _TIERS.clear()
-            _TIERS[key] = _Lengths(frequent.value, encoder.cache, CACHE_LIMIT)
+            _TIERS[key] = _Lengths(encoder.tokenizer, frequent.value, CACHE_LIMIT)
         get, split = _TIERS[key].__getitem__, encoder.split
         for batch in batches:
             counts = []

@@ -9,8 +9,8 @@ from array import array
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Pre-tokens longer than this are encoded but not kept.
 LONGEST_KEPT = 48
-#: Entries a worker's cache may hold before it starts over from its seed.
-CACHE_LIMIT = 500_000
+#: Entries of the younger half of a worker's cache, at most (some 170 MB; the older half is no larger).
+CACHE_LIMIT = 1_000_000
 
 
 def default_path() -> str:
@@ -32,7 +32,7 @@ class Encoder:
         special = sorted((t.content for t in self.tokenizer.get_added_tokens_decoder().values()), key=len, reverse=True)
         self.special = {s: array("I", [self.tokenizer.token_to_id(s)]).tobytes() for s in special}
         self.special_split = regex.compile("(" + "|".join(map(regex.escape, special)) + ")").split if special else None
-        self.cache = _Cache(self.tokenizer, seed or {}, limit)
+        self.cache = Cache(self.tokenizer, seed or {}, limit)
 
     def pieces(self, text: str):
         """The pre-tokens between the special strings in a text, and those strings' ids."""
@@ -52,18 +52,27 @@ class Encoder:
         return b"".join(out)
 
 
-class _Cache(dict):
+class Cache(dict):
+    """Pre-tokens met lately: when full, the entries become the older half; what is met again moves back."""
+
     def __init__(self, tokenizer, seed, limit):
         super().__init__(seed)
-        self.tokenizer, self.seed, self.limit = tokenizer, seed, limit
+        self.tokenizer, self.limit, self.older = tokenizer, limit, {}
+
+    @staticmethod
+    def made(ids: list[int]) -> bytes:
+        return array("I", ids).tobytes()
 
     def __missing__(self, piece: str) -> bytes:
-        value = array("I", self.tokenizer.encode(piece, add_special_tokens=False).ids).tobytes()
-        if len(piece) <= LONGEST_KEPT:
-            if len(self) >= self.limit:
-                self.clear()
-                self.update(self.seed)
-            self[piece] = value
+        value = self.older.get(piece)
+        if value is None:
+            value = self.made(self.tokenizer.encode(piece, add_special_tokens=False).ids)
+            if len(piece) > LONGEST_KEPT:
+                return value
+        if len(self) >= self.limit:
+            self.older = dict(self)
+            self.clear()
+        self[piece] = value
         return value
 
 
