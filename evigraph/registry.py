@@ -18,3 +18,6 @@ def query(name: str, oracle: str | None = None):
         return f
 
     return add
+
+
+from evigraph.plans import basics  # noqa: E402, F401
