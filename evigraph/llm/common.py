@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import uuid
 
 import pyarrow as pa
@@ -58,3 +59,30 @@ def grouped(batches, keys: list[str]):
             carry.append(batch.slice(start))
     if carry:
         yield last, pa.Table.from_batches(carry)
+
+
+_STATE: list = [None, None]
+
+
+def worker_state(key: tuple, make):
+    """What an operator keeps between the tasks of a Python worker; one operator's at a time, so memory doesn't add up."""
+    if _STATE[0] != key:
+        _STATE[:] = [None, None]
+        give_back()
+        _STATE[:] = [key, make()]
+    return _STATE[1]
+
+
+def give_back() -> None:
+    """Hand freed memory back to the system, where the C library can."""
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):
+        pass
+
+
+def slices(batches, rows: int = 1000):
+    """The batches in parts of limited size, so that what is unpacked at a time stays small."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import grouped, materialize, text_or_empty
+from .common import grouped, materialize, slices, text_or_empty, worker_state
 from .components import components
 
 WORDS = 5
@@ -40,7 +40,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 class Shingler:
     """Sorted distinct 64-bit hashes of a text's word shingles."""
 
-    def __init__(self, words: int = WORDS, limit: int = 400_000):
+    def __init__(self, words: int = WORDS, limit: int = 200_000):
         from xxhash import xxh3_64_intdigest
 
         class Cache(dict):
@@ -66,11 +66,8 @@ class Shingler:
         return np.unique(mix(out))
 
 
-_SHINGLERS: dict[int, Shingler] = {}
-
-
 def shingler(words: int) -> Shingler:
-    return _SHINGLERS.setdefault(words, Shingler(words))
+    return worker_state(("shingler", words), lambda: Shingler(words))
 
 
 def fingerprint(s: np.ndarray) -> int:
@@ -151,7 +148,7 @@ def fingerprints(docs: DataFrame, words: int = WORDS) -> DataFrame:
 
     def run(batches):
         make = shingler(words)
-        for batch in batches:
+        for batch in slices(batches):
             f, n, sk = [], [], []
             for data in batch.column(1).cast(pa.binary()).to_pylist():
                 s = make(data)
@@ -168,7 +165,7 @@ def cells(docs: DataFrame, words: int = WORDS, num: int = NUM, den: int = DEN) -
 
     def run(batches):
         make, met = shingler(words), set()
-        for batch in batches:
+        for batch in slices(batches):
             keys, names, size = [], [], 0
             for data in batch.column(1).cast(pa.binary()).to_pylist():
                 s = make(data)
@@ -182,7 +179,7 @@ def cells(docs: DataFrame, words: int = WORDS, num: int = NUM, den: int = DEN) -
                 keys.append(k)
                 names.append(np.full(len(k), f, np.int64))
                 size += len(k)
-                if size > 200_000:
+                if size > 50_000:
                     yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(np.concatenate(names))], names=["key", "f"])
                     keys, names, size = [], [], 0
             if keys:
@@ -223,7 +220,7 @@ def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, words: int = W
 
     def sets(batches):
         make = shingler(words)
-        for batch in batches:
+        for batch in slices(batches):
             out_f, out_s = [], []
             for data, f in zip(batch.column(0).cast(pa.binary()).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 s = make(data)
@@ -356,7 +353,7 @@ def keep_one(docs: DataFrame, words: int = WORDS, num: int = NUM, den: int = DEN
 
     def mark(batches):
         make = shingler(words)
-        for batch in batches:
+        for batch in slices(batches):
             data = batch.column(batch.num_columns - 1).cast(pa.binary()).to_pylist()
             f = pa.array([fingerprint(make(d)) for d in data], pa.int64())
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], f], names=[*batch.schema.names[:-1], "__f"])

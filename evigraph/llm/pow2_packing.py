@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import text_or_empty
-from .tokens import default_path, worker_encoder
+from .tokens import CACHE_LIMIT, default_path, worker_encoder
 
 PIECES = "doc_id bigint, start bigint, length bigint, ids binary, doc_tokens bigint"
 
@@ -22,18 +22,19 @@ def binary_lengths(n: int, longest: int) -> list[int]:
     return out
 
 
-def decompose(docs: DataFrame, tokenizer_path: str | None = None, max_length: int = 2048, end_id: int | None = 1) -> DataFrame:
+def decompose(docs: DataFrame, tokenizer_path: str | None = None, max_length: int = 2048, end_id: int | None = 1, cache_limit: int = CACHE_LIMIT) -> DataFrame:
     """Cut each document into pieces whose lengths are powers of two, at most ``max_length``.
 
     Null and empty texts have the end id alone (no piece if ``end_id`` is None). Null and repeated doc_ids are kept as
-    they are, each row on its own. Other columns of ``docs`` are not read. Runs in one pass without a shuffle.
+    they are, each row on its own. Other columns of ``docs`` are not read. Runs in one pass without a shuffle. ``cache_limit`` bounds a worker's cache of
+    pre-tokens; it changes no result.
     """
     if max_length & (max_length - 1) or max_length < 1:
         raise ValueError("max_length must be a power of two")
     path = tokenizer_path or default_path()
 
     def run(batches):
-        encoder = worker_encoder(path)
+        encoder = worker_encoder(path, cache_limit)
         end = array("I", [end_id]).tobytes() if end_id is not None else b""
         for batch in batches:
             out = [[], [], [], [], []]
@@ -59,13 +60,13 @@ def _batch(cols) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=["doc_id", "start", "length", "ids", "doc_tokens"])
 
 
-def pack(docs: DataFrame, tokenizer_path: str | None = None, max_length: int = 2048, end_id: int | None = 1) -> DataFrame:
+def pack(docs: DataFrame, tokenizer_path: str | None = None, max_length: int = 2048, end_id: int | None = 1, cache_limit: int = CACHE_LIMIT) -> DataFrame:
     """One row for each piece, each a sequence of its own: ``sequence_id`` is unique, ``offset`` is 0.
 
     ``bucket`` is the binary logarithm of the length: sequences of a bucket have one shape, so batches of a bucket need
     no padding and no attention mask. The ids follow scan order, so a lost task gives the same ids again.
     """
-    pieces = decompose(docs, tokenizer_path, max_length, end_id)
+    pieces = decompose(docs, tokenizer_path, max_length, end_id, cache_limit)
     return pieces.withColumn("bucket", F.round(F.log2("length")).cast("int")).withColumn("sequence_id", F.monotonically_increasing_id()).withColumn("offset", F.lit(0).cast("bigint"))
 
 

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import grouped, materialize, text_or_empty
+from .common import grouped, materialize, slices, text_or_empty
 from .parity_join import MIX2, ODD, mix
 
 LEAST = 400
@@ -212,7 +212,7 @@ def _anchor_rows(keyed: DataFrame, least: int, gram: int) -> DataFrame:
     """(kh, ch, tk, tk2, doc_id, pos, cnt): anchors; cnt counts equal texts that a batch holds."""
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches):
             met: dict[tuple, list] = {}
             for i, key in enumerate(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)):
                 met.setdefault(key, []).append(i)
@@ -384,7 +384,7 @@ def remove_repeats(docs: DataFrame, least: int = LEAST, gram: int = GRAM, most_i
     names = docs.columns
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches):
             kept, spans = [], []
             for data, found in zip(batch.column(len(names)).cast(pa.binary()).to_pylist(), batch.column(len(names) + 1).to_pylist(), strict=True):
                 cut = _merge(found, len(data), least)
@@ -408,7 +408,7 @@ def cleaned(docs: DataFrame, **options) -> DataFrame:
     """
 
     def decode(batches):
-        for batch in batches:
+        for batch in slices(batches):
             text = pa.array([k.decode("utf-8", "ignore") for k in batch.column(batch.num_columns - 1).to_pylist()], pa.string())
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], text], names=[*batch.schema.names[:-1], "__left"])
 

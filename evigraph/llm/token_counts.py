@@ -9,8 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_or_empty
-from .tokens import CACHE_LIMIT, LONGEST_KEPT, Cache, default_path, worker_encoder
+from .common import text_or_empty, worker_state
+from .tokens import CACHE_LIMIT, LONGEST_KEPT, Cache, Encoder, default_path, worker_encoder
 
 
 #: Pre-tokens a task counts before it forgets single ones.
@@ -49,9 +49,6 @@ class _Lengths(Cache):
     made = staticmethod(len)
 
 
-_TIERS: dict[str, _Lengths] = {}
-
-
 def token_counts(docs: DataFrame, tokenizer_path: str | None = None, limit: int = 512, entries: int = 65_536) -> DataFrame:
     """doc_id, n_bytes, n_tokens, over_limit (n_tokens > limit) of each row; one map pass after the table's pass.
 
@@ -62,12 +59,13 @@ def token_counts(docs: DataFrame, tokenizer_path: str | None = None, limit: int
     frequent = docs.sparkSession.sparkContext.broadcast(frequent_lengths(docs, path, entries))
     key = uuid.uuid4().hex
 
+    def _tiers():
+        encoder = Encoder(path)
+        return encoder, _Lengths(encoder.tokenizer, frequent.value, CACHE_LIMIT)
+
     def run(batches):
-        encoder = worker_encoder(path)
-        if key not in _TIERS:
-            _TIERS.clear()
-            _TIERS[key] = _Lengths(encoder.tokenizer, frequent.value, CACHE_LIMIT)
-        get, split = _TIERS[key].__getitem__, encoder.split
+        encoder, tier = worker_state(("lengths", key), _tiers)
+        get, split = tier.__getitem__, encoder.split
         for batch in batches:
             counts = []
             for text in batch.column(2).to_pylist():

@@ -5,6 +5,8 @@ from __future__ import annotations
 import os
 from array import array
 
+from .common import worker_state
+
 #: Fixed value: the pre-token pattern of the byte-level BPE vocabulary.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Pre-tokens longer than this are encoded but not kept.
@@ -76,12 +78,6 @@ class Cache(dict):
         return value
 
 
-_ENCODERS: dict[str, Encoder] = {}
-
-
-def worker_encoder(path: str) -> Encoder:
+def worker_encoder(path: str, limit: int = CACHE_LIMIT) -> Encoder:
     """One encoder for each Python worker, kept between tasks."""
-    if path not in _ENCODERS:
-        _ENCODERS.clear()
-        _ENCODERS[path] = Encoder(path)
-    return _ENCODERS[path]
+    return worker_state(("encoder", path, limit), lambda: Encoder(path, limit=limit))
