@@ -30,7 +30,7 @@ def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sequences of power-of-two lengths; none crosses documents."""
-    return pow2_packing.pack(docs, cache_limit=250_000)
+    return pow2_packing.pack(docs, cache_limit=100_000)
 
 
 STAGES = [

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import grouped, materialize, slices, text_or_empty, worker_state
+from .common import give_back, grouped, materialize, slices, text_or_empty, worker_state
 from .components import components
 
 WORDS = 5
@@ -40,7 +40,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 class Shingler:
     """Sorted distinct 64-bit hashes of a text's word shingles."""
 
-    def __init__(self, words: int = WORDS, limit: int = 200_000):
+    def __init__(self, words: int = WORDS, limit: int = 100_000):
         from xxhash import xxh3_64_intdigest
 
         class Cache(dict):
@@ -172,7 +172,7 @@ def cells(docs: DataFrame, words: int = WORDS, num: int = NUM, den: int = DEN) -
                 f = fingerprint(s)
                 if not f or f in met:
                     continue
-                if len(met) >= 200_000:
+                if len(met) >= 100_000:
                     met.clear()
                 met.add(f)
                 k = cell_keys(s, num, den)
@@ -184,6 +184,7 @@ def cells(docs: DataFrame, words: int = WORDS, num: int = NUM, den: int = DEN) -
                     keys, names, size = [], [], 0
             if keys:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(np.concatenate(names))], names=["key", "f"])
+        give_back()
 
     return _texts(docs).mapInArrow(run, "key bigint, f bigint")
 

@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_or_empty
+from .common import give_back, text_or_empty
 from .tokens import CACHE_LIMIT, default_path, worker_encoder
 
 PIECES = "doc_id bigint, start bigint, length bigint, ids binary, doc_tokens bigint"
@@ -51,6 +51,7 @@ def decompose(docs: DataFrame, tokenizer_path: str | None = None, max_length: in
                     yield _batch(out)
                     out, size = [[], [], [], [], []], 0
             yield _batch(out)
+        give_back()
 
     return docs.select(F.col("doc_id").cast("bigint"), text_or_empty().alias("text")).mapInArrow(run, PIECES)
 

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import grouped, materialize, slices, text_or_empty
+from .common import give_back, grouped, materialize, slices, text_or_empty
 from .parity_join import MIX2, ODD, mix
 
 LEAST = 400
@@ -372,7 +372,8 @@ def _merge(spans, length: int, least: int) -> list[tuple[int, int]]:
 
 
 def remove_repeats(docs: DataFrame, least: int = LEAST, gram: int = GRAM, most_in_memory: int = MOST_IN_MEMORY) -> DataFrame:
-    """All columns of ``docs`` with ``__kept`` (the bytes left) and ``__spans`` (maximal removed runs).
+    """All columns of ``docs`` with ``__kept`` (the bytes left), ``__spans`` (maximal removed runs) and, where there are any,
+    ``__left`` (the bytes left as text, without parts of characters).
 
     Bytes are those of the UTF-8 text; null counts as empty. Texts shorter than ``least`` bytes stay whole. Repeated
     rows are repeats of each other. Null and repeated doc_ids stay, each row on its own; an empty table gives no rows.
@@ -385,7 +386,7 @@ def remove_repeats(docs: DataFrame, least: int = LEAST, gram: int = GRAM, most_i
 
     def run(batches):
         for batch in slices(batches):
-            kept, spans = [], []
+            kept, spans, left = [], [], []
             for data, found in zip(batch.column(len(names)).cast(pa.binary()).to_pylist(), batch.column(len(names) + 1).to_pylist(), strict=True):
                 cut = _merge(found, len(data), least)
                 at, parts = 0, []
@@ -394,10 +395,12 @@ def remove_repeats(docs: DataFrame, least: int = LEAST, gram: int = GRAM, most_i
                     at = b
                 kept.append(b"".join([*parts, data[at:]]))
                 spans.append([{"start": a, "end": b} for a, b in cut])
+                left.append(kept[-1].decode("utf-8", "ignore") if cut else None)
             span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], pa.array(kept, pa.binary()), pa.array(spans, span)], names=[*names, "__kept", "__spans"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], pa.array(kept, pa.binary()), pa.array(spans, span), pa.array(left, pa.string())], names=[*names, "__kept", "__spans", "__left"])
+        give_back()
 
-    schema = docs.withColumns({"__kept": F.lit(None).cast("binary"), "__spans": F.lit(None).cast("array<struct<start:bigint,end:bigint>>")}).schema
+    schema = docs.withColumns({"__kept": F.lit(None).cast("binary"), "__spans": F.lit(None).cast("array<struct<start:bigint,end:bigint>>"), "__left": F.lit(None).cast("string")}).schema
     return rows.select(*names, "__text", "__found").mapInArrow(run, schema)
 
 
@@ -406,14 +409,7 @@ def cleaned(docs: DataFrame, **options) -> DataFrame:
 
     A cut may part a character; its remaining bytes are dropped. Null texts stay null.
     """
-
-    def decode(batches):
-        for batch in slices(batches):
-            text = pa.array([k.decode("utf-8", "ignore") for k in batch.column(batch.num_columns - 1).to_pylist()], pa.string())
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], text], names=[*batch.schema.names[:-1], "__left"])
-
-    out = remove_repeats(docs, **options).withColumn("__cut", F.size("__spans") > 0).drop("__spans").select(*docs.columns, "__cut", "__kept")
-    out = out.mapInArrow(decode, out.drop("__kept").withColumn("__left", F.lit("").cast("string")).schema)
+    out = remove_repeats(docs, **options).withColumn("__cut", F.size("__spans") > 0)
     values = {"text": F.when(F.col("__cut"), F.col("__left")).otherwise(F.col("text"))}
     if "n_chars" in docs.columns:
         values["n_chars"] = F.when(F.col("__cut"), F.char_length("__left").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
