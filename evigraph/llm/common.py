@@ -26,7 +26,17 @@ def materialize(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.table_path = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables that materialize() wrote and that no frame still to be computed reads."""
+    for t in tables:
+        spark = t.sparkSession
+        where = spark._jvm.org.apache.hadoop.fs.Path(t.table_path)
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def text_or_empty(name: str = "text"):

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import give_back, grouped, materialize, slices, text_or_empty, worker_state
+from .common import discard, give_back, grouped, materialize, slices, text_or_empty, worker_state
 from .components import components
 
 WORDS = 5
@@ -232,8 +232,8 @@ def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, words: int = W
 
     texts = _texts(docs)
     rows = texts.join(first, texts["doc_id"].eqNullSafe(first["doc"])).select("text", "f").mapInArrow(sets, "f bigint, s binary")
-    rows = materialize(rows)
-    rows = rows.groupBy("f").agg(F.first("s").alias("s"))
+    table = materialize(rows)
+    rows = table.groupBy("f").agg(F.first("s").alias("s"))
 
     def check(batches):
         for batch in batches:
@@ -245,7 +245,9 @@ def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, words: int = W
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     one, two = rows.select(F.col("f").alias("a"), F.col("s").alias("x")), rows.select(F.col("f").alias("b"), F.col("s").alias("y"))
-    return pairs.join(two, "b").join(one, "a").select("a", "b", "x", "y").mapInArrow(check, "a bigint, b bigint")
+    out = materialize(pairs.join(two, "b").join(one, "a").select("a", "b", "x", "y").mapInArrow(check, "a bigint, b bigint"))
+    discard(table)
+    return out
 
 
 def _label(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -333,12 +335,15 @@ def link_components(docs: DataFrame, words: int = WORDS, num: int = NUM, den: in
         tried = near if tried is None else tried.unionByName(near)
         if k and near.isEmpty():
             continue
-        new = materialize(verified(near, nodes, docs, words, num, den))
+        new = verified(near, nodes, docs, words, num, den)
         edges = new if edges is None else edges.unionByName(new)
         label = materialize(_label(nodes, edges))
     named = nodes.select("f", "doc").join(label, "f")
     least = named.groupBy("c").agg(F.min("doc").alias("component_id"))
-    named = named.join(least, "c").select("f", "component_id")
+    named = materialize(named.join(least, "c").select("f", "component_id"))
+    slim = materialize(marks.select("doc_id", "f", "n"))
+    discard(members, nodes, marks)
+    marks = slim
     return marks.select("doc_id", "f", F.col("n").alias("n_shingles")).join(named, "f", "left").withColumn("component_id", F.when(F.col("f") == 0, F.col("doc_id")).otherwise(F.col("component_id")))
 
 

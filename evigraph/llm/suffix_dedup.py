@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import give_back, grouped, materialize, slices, text_or_empty
+from .common import discard, give_back, grouped, materialize, slices, text_or_empty
 from .parity_join import MIX2, ODD, mix
 
 LEAST = 400
@@ -340,7 +340,8 @@ def repeated_spans(docs: DataFrame, least: int = LEAST, gram: int = GRAM, most_i
     keyed = _keyed(docs)
     found = materialize(_anchor_rows(keyed, least, gram))
     often = found.groupBy("kh").agg(F.sum("cnt").alias("all_cnt")).filter("all_cnt > 1").select("kh")
-    found = materialize(found.join(often, "kh", "left_semi"))
+    everything, found = found, materialize(found.join(often, "kh", "left_semi"))
+    discard(everything)
     classes = found.groupBy("kh", "ch").agg(F.sum("cnt").alias("cnt"), F.min(F.struct("tk", "tk2", "pos", "doc_id")).alias("rep"))
     classes = materialize(classes)
     dup = classes.join(classes.groupBy("kh").agg(F.count("*").alias("g")), "kh")
@@ -357,7 +358,9 @@ def repeated_spans(docs: DataFrame, least: int = LEAST, gram: int = GRAM, most_i
     pieces = places.select("tk", "tk2", F.greatest(F.col("pos") - F.col("lo"), F.lit(0)).alias("start"), (F.col("pos") + F.col("hi")).alias("end"))
     # All pieces of one text, in order; bounded by its length. Pieces that touch or overlap become one.
     merged = pieces.groupBy("tk", "tk2").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("spans"))
-    return materialize(merged)
+    merged = materialize(merged)
+    discard(found, classes, contexts, spans)
+    return merged
 
 
 def _merge(spans, length: int, least: int) -> list[tuple[int, int]]:
