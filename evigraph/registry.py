@@ -20,4 +20,4 @@ def query(name: str, oracle: str | None = None):
     return add
 
 
-from evigraph.plans import basics, evidence  # noqa: E402, F401
+from evigraph.plans import basics, evidence, reasoning  # noqa: E402, F401
