@@ -31,9 +31,48 @@ def upper_excess(actual: Column, most: float) -> Column:
     return F.when(actual <= most, 0.0).otherwise(clamp((actual - most) / (1 - most)))
 
 
-def energy(errors: dict[str, Column]) -> Column:
+#: Weights of the stability score, those that add and those that take away.
+PLUS = {"temporal": 0.14, "diversity": 0.08, "support": 0.10, "provenance": 0.14, "relevance": 0.08, "consistency": 0.06, "completeness": 0.08}
+MINUS = {"material": 0.16, "pattern_lock": 0.08, "missing": 0.08, "noise": 0.08}
+#: What each mode adds to weights.
+EXTRA = {
+    "empirical": {"provenance": 0.06, "temporal": 0.04, "contradiction": 0.06, "completeness": 0.04},
+    "theoretical": {"diversity": 0.04, "relevance": 0.03},
+}
+#: Least and most of each coordinate without an error, by mode where it differs.
+LEAST = {"temporal": 0.90, "diversity": 0.25, "degeneracy": 0.50, "provenance": 0.75, "relevance": 0.60, "target_consistency": 0.60, "completeness": 0.75}
+MOST = {"contradiction": 0.15, "pattern_lock": 0.55, "missing_evidence": 0.10, "retrieval_noise": 0.10}
+BY_MODE = {
+    "empirical": {"temporal": 0.95, "provenance": 0.85, "completeness": 0.85, "relevance": 0.70, "target_consistency": 0.70, "contradiction": 0.10, "missing_evidence": 0.05, "retrieval_noise": 0.05},
+    "theoretical": {"diversity": 0.35, "degeneracy": 0.50, "provenance": 0.60},
+}
+#: Columns of an assessment that hold the coordinates under another name.
+HELD = {"degeneracy": "support", "target_consistency": "consistency", "missing_evidence": "missing", "retrieval_noise": "noise"}
+
+
+def energy_weights(mode: str) -> dict[str, float]:
+    return {k: w + EXTRA.get(mode, {}).get(k, 0.0) for k, w in ENERGY_WEIGHTS.items()}
+
+
+def stability_weights(mode: str) -> tuple[dict[str, float], dict[str, float]]:
+    extra = EXTRA.get(mode, {})
+    minus = {k: w + extra.get("contradiction" if k == "material" else k, 0.0) for k, w in MINUS.items()}
+    return {k: w + extra.get(k, 0.0) for k, w in PLUS.items()}, minus
+
+
+def errors(mode: str) -> dict[str, Column]:
+    """Error of each coordinate of an assessment row against the mode's targets."""
+    own = BY_MODE.get(mode, {})
+    col = lambda k: F.col(HELD.get(k, k))
+    out = {k: lower_deficit(col(k), own.get(k, v)) for k, v in LEAST.items()}
+    met = F.when(F.col("material") > 0, F.col("material")).otherwise(F.col("contradiction"))
+    return out | {k: upper_excess(met if k == "contradiction" else col(k), own.get(k, v)) for k, v in MOST.items()}
+
+
+def energy(errors: dict[str, Column], weights: dict[str, float] | None = None) -> Column:
     """Weighted mean of squared errors; contradiction, noise and irrelevance set floors that nothing else lowers."""
-    mean = sum(w * errors[k] * errors[k] for k, w in ENERGY_WEIGHTS.items()) / sum(ENERGY_WEIGHTS.values())
+    weights = weights or ENERGY_WEIGHTS
+    mean = sum(w * errors[k] * errors[k] for k, w in weights.items()) / sum(weights.values())
     floors = [
         F.when(errors["contradiction"] > 0, 0.35 + 0.60 * errors["contradiction"]),
         F.when(errors["retrieval_noise"] > 0, 0.15 + 0.35 * errors["retrieval_noise"]),

@@ -30,7 +30,8 @@ def _step(paths: DataFrame, edges: DataFrame, here: str, there: str) -> DataFram
 
 def evidence_paths(anchors: DataFrame, nodes: DataFrame, edges: DataFrame, hops: int) -> DataFrame:
     """(anchor, at, nodes, edges, score, contra): every simple path against the edges that ends at its first root."""
-    roots = nodes.filter("root").select(F.col("id").alias("at"))
+    roots = materialize(nodes.filter("root").select(F.col("id").alias("at")))
+    edges = materialize(edges.select("edge_id", "src", "dst", "confidence", "role"))  # read by every hop
     front, found = _start(anchors), None
     for depth in range(min(hops, MOST_HOPS) + 1):
         front = materialize(front)
@@ -42,10 +43,46 @@ def evidence_paths(anchors: DataFrame, nodes: DataFrame, edges: DataFrame, hops:
     return found
 
 
+def joint_hops(members: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Hops (at, to, ids, needs, c, against) of joint causes from (group, edge_id, src, dst, confidence, role, arity).
+
+    A group counts only whole, with all its sources visible; then each source is reached over all member edges at once,
+    at the geometric mean of their confidences.
+    """
+    seen = members.join(nodes.select(F.col("id").alias("src")), "src", "left_semi")
+    whole = seen.groupBy("group", F.col("dst").alias("at")).agg(
+        F.array_sort(F.collect_list("src")).alias("needs"),
+        F.array_sort(F.collect_list("edge_id")).alias("ids"),
+        F.pow(F.aggregate(F.array_sort(F.collect_list(clamp(F.col("confidence")))), F.lit(1.0), lambda s, x: s * x), 1 / F.count("*")).alias("c"),
+        F.bool_or(F.col("role") == "contradicts").alias("against"),
+        F.max("arity").alias("arity"),
+    )
+    whole = whole.filter((F.size("needs") == F.col("arity")) & (F.size("needs") >= 2))
+    return whole.select("at", F.explode("needs").alias("to"), "ids", "needs", "c", "against")
+
+
+def joint_paths(anchors: DataFrame, nodes: DataFrame, edges: DataFrame, members: DataFrame, hops: int) -> DataFrame:
+    """evidence_paths() over edges and joint causes; a joint cause is one hop of several edges."""
+    single = edges.select(F.col("dst").alias("at"), F.col("src").alias("to"), F.array("edge_id").alias("ids"), F.array("src").alias("needs"), clamp(F.col("confidence")).alias("c"), (F.col("role") == "contradicts").alias("against"))
+    hop = materialize(single.unionByName(joint_hops(members, nodes)))
+    roots = materialize(nodes.filter("root").select(F.col("id").alias("at")))
+    front, found = _start(anchors), None
+    for depth in range(min(hops, MOST_HOPS) + 1):
+        front = materialize(front)
+        hit = front.join(roots, "at", "left_semi")
+        found = hit if found is None else found.unionByName(hit)
+        if depth == min(hops, MOST_HOPS) or front.isEmpty():
+            break
+        on = front.join(roots, "at", "left_anti").join(hop, "at").filter(~F.arrays_overlap("nodes", "needs"))
+        front = on.select("anchor", F.col("to").alias("at"), F.concat("nodes", F.array("to")).alias("nodes"), F.concat("edges", "ids").alias("edges"), (F.col("score") * F.col("c")).alias("score"), (F.col("contra") | F.col("against")).alias("contra"))
+    return found
+
+
 def forward_arrivals(anchors: DataFrame, edges: DataFrame, hops: int) -> DataFrame:
     """(anchor, at, nodes, edges, score, contra): every arrival along the edges; a node goes on once a depth, from its
     first arrival, the one with the least list of edges."""
     first = Window.partitionBy("anchor", "at").orderBy("edges")
+    edges = materialize(edges.select("edge_id", "src", "dst", "confidence", "role"))
     front, found = _start(anchors), None
     for _ in range(min(hops, MOST_HOPS)):
         new = materialize(_step(front, edges, "src", "dst"))

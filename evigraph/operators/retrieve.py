@@ -46,8 +46,8 @@ def reverse_roots(anchors: DataFrame, edges: DataFrame, nodes: DataFrame, most_s
     At equal depth the order of a queue is that of the reversed edge lists, so the least of (depth, list) is the winner.
     A node is taken once for each anchor, on its first path. Anchors that are roots win with no edge.
     """
-    into = edges.select(F.col("dst").alias("at"), F.col("src").alias("next"), "edge_id", clamp(F.col("confidence")).alias("c"))
-    is_root = nodes.select(F.col("id").alias("at"), "root")
+    into = materialize(edges.select(F.col("dst").alias("at"), F.col("src").alias("next"), "edge_id", clamp(F.col("confidence")).alias("c")))
+    is_root = materialize(nodes.select(F.col("id").alias("at"), "root"))  # both are read at every step
     front = anchors.select("anchor", F.col("anchor").alias("at"), F.array().cast("array<bigint>").alias("rev_edges"), F.lit(1.0).alias("score"))
     seen = front.select("anchor", "at")
     found = None
