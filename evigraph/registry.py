@@ -20,4 +20,4 @@ def query(name: str, oracle: str | None = None):
     return add
 
 
-from evigraph.plans import basics, critic, dialectic, evidence, fibers, reasoning  # noqa: E402, F401
+from evigraph.plans import basics, critic, dialectic, evidence, fibers, ingest, reasoning  # noqa: E402, F401
