@@ -40,6 +40,11 @@ def embed_words(text: Column, dim: int) -> Column:
     """Each word's hash picks a slot and, by its low bit, a sign; then unit length."""
     words = F.filter(F.split(entity_name(text), " "), lambda w: w != "")
     marks = F.transform(words, lambda w: F.struct(unsigned_mod(fnv1a(w), dim).alias("slot"), F.when(fnv1a(w).bitwiseAND(F.lit(1)) == 1, 1.0).otherwise(-1.0).alias("sign")))
-    slots = F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.aggregate(F.filter(marks, lambda m: m["slot"] == i), F.lit(0.0), lambda s, m: s + m["sign"]))
-    norm = F.sqrt(F.aggregate(slots, F.lit(0.0), lambda s, x: s + x * x))
-    return F.transform(slots, lambda x: F.when(norm > 0, x / norm).otherwise(0.0))
+
+    def vector(marks):
+        slots = F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.aggregate(F.filter(marks, lambda m: m["slot"] == i), F.lit(0.0), lambda s, m: s + m["sign"]))
+        unit = lambda v: F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + x * x))
+        return F.get(F.transform(F.array(slots), lambda v: F.transform(v, lambda x: F.when(unit(v) > 0, x / unit(v)).otherwise(0.0))), F.lit(0))
+
+    # A lambda's argument is evaluated once, where a plain expression would be once a slot.
+    return F.get(F.transform(F.array(marks), vector), F.lit(0))

@@ -18,6 +18,3 @@ def query(name: str, oracle: str | None = None):
         return f
 
     return add
-
-
-from evigraph.plans import basics, critic, dialectic, evidence, fibers, ingest, reasoning  # noqa: E402, F401
