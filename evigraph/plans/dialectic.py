@@ -96,7 +96,7 @@ def dialectic_oppose(spark, d):
 
 
 def status():
-    return F.when(~F.col("has_answer"), "abstain").when(F.col("score") >= CONTESTED, "contested").when((doubts() != "") | (F.col("score") > 0), "provisional").otherwise("supported")
+    return F.when(~F.coalesce("has_answer", F.lit(False)), "abstain").when(F.col("score") >= CONTESTED, "contested").when((doubts() != "") | (F.col("score") > 0), "provisional").otherwise("supported")
 
 
 @query("dialectic_reason")
