@@ -18,6 +18,9 @@ SWEEPS = 8
 DAMPING = 0.85
 #: A host is blocked where its distrust is over this many times its trust.
 BLOCK_RATIO = 1.0
+#: Scores are shares of a mass of one and shrink with the number of pages, so they are compared by their ratio: distrust
+#: within this part of the threshold counts as equal to it.
+TIE = 1e-6
 
 
 def host_of(url):
@@ -70,7 +73,7 @@ def host_scores(pages: DataFrame, rules=RULES, sweeps: int = SWEEPS, damping: fl
         return score.select("host", (F.lit(1 - damping) * F.col("trust")).alias("trust"), (F.lit(1 - damping) * F.col("distrust")).alias("distrust"))
     for i in range(sweeps):
         sent = steps.join(score, steps["from"] == score["host"]).groupBy("to").agg(F.sum(F.col("wt") * F.col("trust")).alias("t"), F.sum(F.col("wd") * F.col("distrust")).alias("d"))
-        score = seeds.join(sent, seeds["host"] == sent["to"], "full").select(F.coalesce("host", "to").alias("host"), *(F.round(F.lit(1 - damping) * F.coalesce(s, F.lit(0.0)) + F.lit(damping) * F.coalesce(m, F.lit(0.0)), 12).alias(n) for s, m, n in (("trust0", "t", "trust"), ("distrust0", "d", "distrust"))))
+        score = seeds.join(sent, seeds["host"] == sent["to"], "full").select(F.coalesce("host", "to").alias("host"), *((F.lit(1 - damping) * F.coalesce(s, F.lit(0.0)) + F.lit(damping) * F.coalesce(m, F.lit(0.0))).alias(n) for s, m, n in (("trust0", "t", "trust"), ("distrust0", "d", "distrust"))))
         if i % 4 == 3:
             score = materialize(score)
     return score
@@ -89,7 +92,7 @@ def judge(pages: DataFrame, rules=RULES, sweeps: int = SWEEPS, damping: float =
     score = host_scores(pages, rules, sweeps, damping)
     out = rows.join(score, "host", "left")
     trust, distrust = F.coalesce("trust", F.lit(0.0)), F.coalesce("distrust", F.lit(0.0))
-    method = F.when(F.round(distrust, 9) > F.round(F.lit(ratio) * trust, 9), "block").otherwise("allow")
+    method = F.when(distrust > F.lit(ratio * (1 + TIE)) * trust, "block").otherwise("allow")
     return out.select("page_id", "host", "path", "rule", F.coalesce("__v", method).alias("verdict"), F.round(trust, 6).alias("trust"), F.round(distrust, 6).alias("distrust"))
 
 
