@@ -8,13 +8,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import discard, materialize
 
 #: (host, path, verdict): fixed rules of the query.
 RULES = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block")]
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 LINK = r"""(?i)href\s*=\s*["']?([^"'\s>]+)"""
-SWEEPS = 8
+SWEEPS = 8  # of the SQL; judge() goes on until scores settle
+#: Scores have settled when a sweep adds no more than this part to any host's trust or distrust.
+SETTLED = 1e-7
 DAMPING = 0.85
 #: A host is blocked where its distrust is over this many times its trust.
 BLOCK_RATIO = 1.0
@@ -50,8 +52,8 @@ def host_edges(pages: DataFrame) -> DataFrame:
     return out.filter("src <> '' and dst <> '' and src <> dst").groupBy("src", "dst").agg(F.count("*").alias("n"))
 
 
-def host_scores(pages: DataFrame, rules=RULES, sweeps: int = SWEEPS, damping: float = DAMPING) -> DataFrame:
-    """host, trust, distrust after ``sweeps`` rounds.
+def host_scores(pages: DataFrame, rules=RULES, sweeps: int | None = SWEEPS, damping: float = DAMPING) -> DataFrame:
+    """host, trust, distrust after ``sweeps`` rounds; with None, after as many as it takes until they settle.
 
     Trust starts on the hosts of allowed pages (in proportion to those pages) and follows links; distrust starts on the
     hosts of blocked pages and follows links backwards. Both scores sum to one at most.
@@ -71,6 +73,8 @@ def host_scores(pages: DataFrame, rules=RULES, sweeps: int = SWEEPS, damping: fl
     score = seeds.select("host", F.col("trust0").alias("trust"), F.col("distrust0").alias("distrust"))
     if steps.isEmpty():  # every round would give (1 - damping) times the seeds: the same thresholds
         return score.select("host", (F.lit(1 - damping) * F.col("trust")).alias("trust"), (F.lit(1 - damping) * F.col("distrust")).alias("distrust"))
+    if sweeps is None:
+        return _settled(seeds, steps, damping)
     for i in range(sweeps):
         sent = steps.join(score, steps["from"] == score["host"]).groupBy("to").agg(F.sum(F.col("wt") * F.col("trust")).alias("t"), F.sum(F.col("wd") * F.col("distrust")).alias("d"))
         score = seeds.join(sent, seeds["host"] == sent["to"], "full").select(F.coalesce("host", "to").alias("host"), *((F.lit(1 - damping) * F.coalesce(s, F.lit(0.0)) + F.lit(damping) * F.coalesce(m, F.lit(0.0))).alias(n) for s, m, n in (("trust0", "t", "trust"), ("distrust0", "d", "distrust"))))
@@ -79,7 +83,31 @@ def host_scores(pages: DataFrame, rules=RULES, sweeps: int = SWEEPS, damping: fl
     return score
 
 
-def judge(pages: DataFrame, rules=RULES, sweeps: int = SWEEPS, damping: float = DAMPING, ratio: float = BLOCK_RATIO) -> DataFrame:
+def _settled(seeds: DataFrame, steps: DataFrame, damping: float) -> DataFrame:
+    """Sums of what each sweep adds: scores only grow, and a host that is reached for the first time is a change."""
+    start = lambda n: (F.lit(1 - damping) * F.col(f"{n}0")).alias(n)
+    score = added = seeds.select("host", start("trust"), start("distrust"))
+    held = []
+    while True:
+        new = []
+        for _ in range(4):
+            added = steps.join(added, steps["from"] == added["host"]).groupBy(F.col("to").alias("host")).agg((F.lit(damping) * F.sum(F.col("wt") * F.col("trust"))).alias("trust"), (F.lit(damping) * F.sum(F.col("wd") * F.col("distrust"))).alias("distrust")).filter("trust > 0 or distrust > 0")
+            added = materialize(added)
+            new.append(added)
+        last = [F.lit(0.0).alias(n) for n in ("dt", "dd")]
+        parts = [score, *new[:-1]]
+        rows = new[-1].select("host", "trust", "distrust", F.col("trust").alias("dt"), F.col("distrust").alias("dd"))
+        for p in parts:
+            rows = rows.unionByName(p.select("host", "trust", "distrust", *last))
+        total = materialize(rows.groupBy("host").agg(*(F.sum(n).alias(n) for n in ("trust", "distrust", "dt", "dd"))))
+        score = total.select("host", "trust", "distrust")
+        discard(*held)
+        held = [total, *new]
+        if total.filter((F.col("dt") > SETTLED * F.col("trust")) | (F.col("dd") > SETTLED * F.col("distrust"))).isEmpty():
+            return score
+
+
+def judge(pages: DataFrame, rules=RULES, sweeps: int | None = None, damping: float = DAMPING, ratio: float = BLOCK_RATIO) -> DataFrame:
     """page_id, host, path, rule, verdict, and the host's trust and distrust.
 
     The longest rule that fits decides; else a host whose distrust is over ``ratio`` times its trust is blocked, any
