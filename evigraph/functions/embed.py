@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 
 from evigraph.functions.scalar import HASH_START, entity_name, fnv1a
 
-PRIME, MASK = (1 << 40) + 435, (1 << 64) - 1
+#: Fixed value: the multiplier of the 64-bit FNV hash.
+PRIME = 1099511628211
+MASK = (1 << 64) - 1
 
 
 def running_hash_vector(text: str, dim: int) -> list[float]:

@@ -24,6 +24,16 @@ ABSOLUTE, RELATIVE, CONFIDENCE, REOPEN = 1e-9, 1e-6, 0.45, 0.25
 BUNDLE, TARGET = ["anchor"], ["anchor", "root"]
 
 
+def lineage() -> list[Column]:
+    """Names of a path's sources, families and derivations, each kind with its own first letter."""
+
+    def tagged(c: str) -> Column:
+        mark = F.lit(c[0])
+        return F.transform(c, lambda x: F.concat(mark, x))
+
+    return [tagged(c) for c in ("sources", "families", "derivations")]
+
+
 def sorted_set(c: str) -> Column:
     return F.array_sort(F.collect_set(F.when(F.col(c) != "", F.col(c))))
 
@@ -73,7 +83,7 @@ def dedupe(rows: DataFrame) -> DataFrame:
 def representatives(rows: DataFrame) -> DataFrame:
     """The best path of each group of correlated ones (those that share a source, family or derivation within a kind)."""
     rows = rows.filter("kind <> 'noise'")
-    named = [F.transform(c, lambda x, k=c[0]: F.concat(F.lit(k), x)) for c in ("sources", "families", "derivations")]
+    named = lineage()
     own = F.array(F.concat(F.lit("p"), "path"))  # a path without any lineage stays alone
     tokens = rows.select("path", F.struct("anchor", "root", "kind").alias("scope"), F.explode(F.array_distinct(F.concat(*named, own))).alias("token"))
     grouped = rows.join(fibers.path_components(materialize(tokens)), "path")

@@ -251,7 +251,8 @@ def validate_report(spark, d):
 
 
 def query_vectors(spark, d):
-    return P.nodes(spark, d).filter(F.col("id") % 50 == 7).select(F.col("id").alias("query_id"), "vec")
+    """The stated query set of searches: every node whose id is divisible by 20."""
+    return P.nodes(spark, d).filter(F.col("id") % 20 == 0).select(F.col("id").alias("query_id"), "vec")
 
 
 COS = "list_dot_product(a.vec, b.vec) / (sqrt(list_dot_product(a.vec, a.vec)) * sqrt(list_dot_product(b.vec, b.vec)))"
@@ -263,7 +264,7 @@ def vector_topk(spark, d):
     return retrieve.top_k(visible(spark, d)[0], v, 10).withColumn("score", F.round("score", 6))
 
 
-KNN = lambda rows, k, extra="": f"SELECT query_id, node_id, round(score, 6) AS score, rank FROM (SELECT a.id AS query_id, b.id AS node_id, {COS} AS score, row_number() OVER (PARTITION BY a.id ORDER BY {COS} DESC, b.id) AS rank FROM n a, {rows} b WHERE a.id % 50 = 7) WHERE rank <= {k} {extra}"
+KNN = lambda rows, k, extra="": f"SELECT query_id, node_id, round(score, 6) AS score, rank FROM (SELECT a.id AS query_id, b.id AS node_id, {COS} AS score, row_number() OVER (PARTITION BY a.id ORDER BY {COS} DESC, b.id) AS rank FROM n a, {rows} b WHERE a.id % 20 = 0) WHERE rank <= {k} {extra}"
 
 
 @query("vector_topk_snapshot", duck(KNN("vn", 5, "AND score >= -0.5")))
@@ -355,34 +356,55 @@ def causal_queries(spark, d):
     return P.nodes(spark, d).filter("symptom").select(F.col("id").alias("query_id"), "vec", "signature")
 
 
-REV = """walk AS (SELECT id AS anchor, id AS at_, []::BIGINT[] AS rev, 1.0::DOUBLE AS score, 0 AS depth, [id] AS seen FROM vn WHERE {anchors}
- UNION ALL SELECT w.anchor, e.src, list_append(w.rev, e.edge_id), w.score * e.confidence, w.depth + 1, list_append(w.seen, e.src) FROM walk w JOIN n x ON x.id = w.at_ AND NOT x.root JOIN {edges} e ON e.dst = w.at_ WHERE NOT list_contains(w.seen, e.src)),
-won AS (SELECT anchor, arg_min(at_, (depth, rev)) AS root, min(depth) AS depth, arg_min(rev, (depth, rev)) AS rev_edges, arg_min(score, (depth, rev)) AS score FROM walk w JOIN n x ON x.id = w.at_ WHERE x.root GROUP BY anchor)"""
+REV = """walk AS (SELECT id AS anchor, id AS at_, []::BIGINT[] AS rev, 1.0::DOUBLE AS score, false AS con, 0 AS depth, [id] AS seen FROM vn WHERE {anchors}
+ UNION ALL SELECT w.anchor, e.src, list_append(w.rev, e.edge_id), w.score * e.confidence, w.con OR e.role = 'contradicts', w.depth + 1, list_append(w.seen, e.src) FROM walk w JOIN n x ON x.id = w.at_ AND NOT x.root JOIN {edges} e ON e.dst = w.at_ WHERE NOT list_contains(w.seen, e.src)),
+won AS (SELECT anchor, arg_min(at_, (depth, rev)) AS root, min(depth) AS depth, arg_min(rev, (depth, rev)) AS rev_edges, arg_min(score, (depth, rev)) AS score, arg_min(con, (depth, rev)) AS con, arg_min(seen, (depth, rev)) AS path FROM walk w JOIN n x ON x.id = w.at_ WHERE x.root GROUP BY anchor)"""
 
 
 @query("reverse_root", duck("SELECT anchor, root, depth, rev_edges, round(score, 6) AS score FROM won", REV.format(anchors="symptom", edges="ve"), recursive=True))
 def reverse_root(spark, d):
     n, e = visible(spark, d)
-    return retrieve.reverse_roots(n.filter("symptom").select(F.col("id").alias("anchor")), e, n).withColumn("score", F.round("score", 6))
+    return retrieve.reverse_roots(n.filter("symptom").select(F.col("id").alias("anchor")), e, n).select("anchor", "root", "depth", "rev_edges", F.round("score", 6).alias("score"))
+
+
+def causal(signal: str) -> list[str]:
+    """Common tables of causal search; ``signal`` is what bonds add to a root's score."""
+    return [
+        "qs AS (SELECT id AS query_id, vec, signature FROM n WHERE symptom)",
+        "nr AS MATERIALIZED (SELECT a.query_id, b.id, b.incident, b.symptom OR b.impact AS boosted, bit_count(b.signature & a.signature) >= greatest(1, bit_count(a.signature) - 1) AS pl, score, row_number() OVER (PARTITION BY a.query_id ORDER BY score DESC, b.id) AS rk FROM (SELECT a.query_id, a.signature, b.id AS bid, " + COS + " AS score FROM qs a, vn b) a JOIN vn b ON b.id = a.bid)",
+        "cand AS (SELECT * FROM (SELECT *, count(*) FILTER (pl) OVER (PARTITION BY query_id) AS k FROM nr) WHERE pl OR (k < 64 AND rk <= 64))",
+        "anc AS MATERIALIZED (SELECT * FROM (SELECT query_id, id AS anchor, incident, round(score + CASE WHEN boosted THEN 0.15 ELSE 0 END, 9) AS sc, row_number() OVER (PARTITION BY query_id ORDER BY round(score + CASE WHEN boosted THEN 0.15 ELSE 0 END, 9) DESC, id) AS rk FROM cand) WHERE rk <= 12)",
+        "ce AS (SELECT * FROM ve WHERE origin <> 'hypothetical')",
+        REV.format(anchors="id IN (SELECT anchor FROM anc)", edges="ce"),
+        f"bf AS (SELECT src AS s, dst AS t, {BOND} AS w FROM ce UNION ALL SELECT dst, src, {BOND} FROM ce)",
+        "la0 AS (SELECT query_id, anchor AS id, sc AS a FROM anc)",
+        *[f"la{k} AS (SELECT query_id, id, max(a) AS a FROM (SELECT * FROM la{k - 1} UNION ALL SELECT query_id, t, a * w FROM la{k - 1} JOIN bf ON s = id) GROUP BY ALL)" for k in (1, 2, 3)],
+        "sg AS (SELECT query_id, root, max(a) AS signal FROM (SELECT query_id, root, unnest(path) AS id FROM anc JOIN won USING (anchor)) JOIN la3 USING (query_id, id) WHERE a > 0 GROUP BY ALL)",
+        f"br AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY raw DESC, root) AS k FROM (SELECT query_id, root, deg, round(base + {signal}, 9) AS raw FROM (SELECT query_id, root, count(*) AS deg, 0.35 * least(1.0, count(*) / 3.0::DOUBLE) + 0.25 * least(1.0, len(list_distinct(flatten(list(rev_edges)))) / count(*)::DOUBLE / 4) - 0.25 * avg(con::INT) + sum(sc * score) / count(*) AS base FROM anc JOIN won USING (anchor) GROUP BY query_id, root) LEFT JOIN sg USING (query_id, root)))",
+        "sh AS (SELECT query_id, max(k)::DOUBLE / sum(k) AS share, max(top) AS top FROM (SELECT query_id, incident, count(*) AS k, max(sc) AS top FROM anc GROUP BY ALL) GROUP BY query_id)",
+        "re AS (SELECT q.query_id, b.root, b.deg, greatest(0.0, least(1.0, b.raw)) AS conf, CASE WHEN top IS NULL OR top < 0.42 THEN 'NO_STABLE_ANCHOR' WHEN top < 0.97 AND share < 0.34 THEN 'AMBIGUOUS' WHEN b.root IS NULL THEN 'NO_PATH' WHEN b.raw < 0.45 THEN 'LOW_STABILITY' ELSE '' END AS reason FROM qs q LEFT JOIN sh USING (query_id) LEFT JOIN br b ON b.query_id = q.query_id AND b.k = 1)",
+    ]
+
+
+#: The share of a signal that a bond hands on.
+BOND = "0.65 * least(1.0, greatest(0.0, bond_strength)) * (CASE WHEN bond = 'defect' THEN 0.4 ELSE 1 END) * (CASE WHEN cross_layer THEN 0.25 ELSE 1 END)"
+ANSWER = "SELECT query_id, reason <> '' AS abstain, reason, CASE WHEN reason IN ('', 'LOW_STABILITY') THEN root END AS target, CASE WHEN reason IN ('', 'LOW_STABILITY') THEN round(conf, 6) END AS confidence, CASE WHEN reason IN ('', 'LOW_STABILITY') THEN deg END AS degeneracy FROM re"
+
+
+def _causal(spark, d, **options):
+    n, e = visible(spark, d)
+    return retrieve.causal_search(causal_queries(spark, d), n, e.filter(S.mode_core(F.col("origin"), F.col("role"), "balanced")), **options)
 
 
-CAUSAL = [
-    "qs AS (SELECT id AS query_id, vec, signature FROM n WHERE symptom)",
-    "nr AS MATERIALIZED (SELECT a.query_id, b.id, b.incident, b.symptom OR b.impact AS boosted, bit_count(b.signature & a.signature) >= greatest(1, bit_count(a.signature) - 1) AS pl, score, row_number() OVER (PARTITION BY a.query_id ORDER BY score DESC, b.id) AS rk FROM (SELECT a.query_id, a.signature, b.id AS bid, " + COS + " AS score FROM qs a, vn b) a JOIN vn b ON b.id = a.bid)",
-    "cand AS (SELECT * FROM (SELECT *, count(*) FILTER (pl) OVER (PARTITION BY query_id) AS k FROM nr) WHERE pl OR (k < 64 AND rk <= 64))",
-    "anc AS MATERIALIZED (SELECT * FROM (SELECT query_id, id AS anchor, incident, round(score + CASE WHEN boosted THEN 0.15 ELSE 0 END, 9) AS sc, row_number() OVER (PARTITION BY query_id ORDER BY round(score + CASE WHEN boosted THEN 0.15 ELSE 0 END, 9) DESC, id) AS rk FROM cand) WHERE rk <= 12)",
-    "ce AS (SELECT * FROM ve WHERE origin <> 'hypothetical')",
-    REV.format(anchors="id IN (SELECT anchor FROM anc)", edges="ce"),
-    "br AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY raw DESC, root) AS k FROM (SELECT query_id, root, count(*) AS deg, round(0.35 * least(1.0, count(*) / 3.0::DOUBLE) + 0.25 * least(1.0, len(list_distinct(flatten(list(rev_edges)))) / count(*)::DOUBLE / 4) + sum(sc * score) / count(*), 9) AS raw FROM anc JOIN won USING (anchor) GROUP BY query_id, root))",
-    "sh AS (SELECT query_id, max(k)::DOUBLE / sum(k) AS share, max(top) AS top FROM (SELECT query_id, incident, count(*) AS k, max(sc) AS top FROM anc GROUP BY ALL) GROUP BY query_id)",
-    "re AS (SELECT q.query_id, b.root, b.deg, greatest(0.0, least(1.0, b.raw)) AS conf, CASE WHEN top IS NULL OR top < 0.42 THEN 'NO_STABLE_ANCHOR' WHEN top < 0.97 AND share < 0.34 THEN 'AMBIGUOUS' WHEN b.root IS NULL THEN 'NO_PATH' WHEN b.raw < 0.45 THEN 'LOW_STABILITY' ELSE '' END AS reason FROM qs q LEFT JOIN sh USING (query_id) LEFT JOIN br b ON b.query_id = q.query_id AND b.k = 1)",
-]
+@query("causal_search", duck(ANSWER, *causal("0"), recursive=True))
+def causal_search(spark, d):
+    return _causal(spark, d)
 
 
-@query("causal_search", duck("SELECT query_id, reason <> '' AS abstain, reason, CASE WHEN reason IN ('', 'LOW_STABILITY') THEN root END AS target, CASE WHEN reason IN ('', 'LOW_STABILITY') THEN round(conf, 6) END AS confidence, CASE WHEN reason IN ('', 'LOW_STABILITY') THEN deg END AS degeneracy FROM re", *CAUSAL, recursive=True))
-def causal_search(spark, d):
-    n, e = visible(spark, d)
-    return retrieve.causal_search(causal_queries(spark, d), n, e.filter(S.mode_core(F.col("origin"), F.col("role"), "balanced")))
+@query("causal_search_lattice", duck(ANSWER, *causal("0.25 * least(1.0, coalesce(signal, 0))"), recursive=True))
+def causal_search_lattice(spark, d):
+    """With the signal that bonds carry from the anchors to the nodes of a path."""
+    return _causal(spark, d, lattice=True)
 
 
 @query("paths_per_root", duck("SELECT root, anchor, rk FROM (SELECT root, anchor, row_number() OVER (PARTITION BY root ORDER BY depth, rev_edges, anchor) AS rk FROM won) WHERE rk <= 2", REV.format(anchors="symptom", edges="ve"), recursive=True))

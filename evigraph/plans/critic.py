@@ -175,7 +175,7 @@ def fiber_counts(spark, d):
 def path_overlap(spark, d):
     """Correlated paths of one target: an equi-join on what they share (a request bounds the paths of a target)."""
     r = rows(spark, d).filter("kind <> 'noise'")
-    named = [F.transform(c, lambda x, k=c[0]: F.concat(F.lit(k), x)) for c in ("sources", "families", "derivations")]
+    named = critic.lineage()
     t = r.select("path", "anchor", "root", "kind", F.explode(F.concat(*named)).alias("token"))
     return t.join(t.withColumnRenamed("path", "other"), ["anchor", "root", "kind", "token"]).filter("path < other").select("path", "other").distinct()
 

@@ -119,7 +119,7 @@ def dialectic_reason(spark, d):
 @query(
     "hypotheses",
     duck(
-        f"""SELECT anchor, node, round(plausibility, 6) AS plausibility, supported FROM (SELECT anchor, root AS node, confidence AS plausibility, true AS supported FROM pl WHERE place <= {SHOWN}
+        f"""SELECT anchor, node, plausibility, supported FROM (SELECT anchor, root AS node, confidence AS plausibility, true AS supported FROM pl WHERE place <= {SHOWN}
  UNION ALL SELECT query_id, node_id, 0, false FROM (SELECT a.id AS query_id, b.id AS node_id, row_number() OVER (PARTITION BY a.id ORDER BY {COS} DESC, b.id) AS rank FROM vn a, vn b WHERE a.symptom AND a.id NOT IN (SELECT anchor FROM pl)) WHERE rank <= 3)""",
         EXPAND,
         *ROOTS,
@@ -132,7 +132,7 @@ def hypotheses(spark, d):
     found = symptom_paths(spark, d)[0]
     w = Window.partitionBy("anchor").orderBy(F.desc("confidence"), "root")
     roots = root_bundles(found, e).withColumn("place", F.row_number().over(w)).filter(F.col("place") <= SHOWN)
-    roots = roots.select("anchor", F.col("root").alias("node"), F.round("confidence", 6).alias("plausibility"), F.lit(True).alias("supported"))
+    roots = roots.select("anchor", F.col("root").alias("node"), F.col("confidence").alias("plausibility"), F.lit(True).alias("supported"))
     loose = n.filter("symptom").join(found.select(F.col("anchor").alias("id")), "id", "left_anti").select(F.col("id").alias("query_id"), "vec")
     near = retrieve.knn(n, loose, 3).select(F.col("query_id").alias("anchor"), F.col("node_id").alias("node"), F.lit(0.0).alias("plausibility"), F.lit(False).alias("supported"))
     return roots.unionByName(near)

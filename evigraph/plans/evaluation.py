@@ -79,12 +79,12 @@ def model_world_audit(spark, d):
     return world.select("id", F.explode(codes).alias("code")).unionByName(broken)
 
 
-@query("policy_history", """WITH p AS (SELECT event_id, user_id % 3 AS tenant, row_number() OVER (PARTITION BY user_id % 3 ORDER BY event_id) AS seq, CASE WHEN event_id % 5 = 0 THEN 'rollback' ELSE 'promote' END AS action, event_id % 37 AS version FROM events WHERE event_id % 10 < 6),
+@query("policy_history", """WITH p AS (SELECT event_id, user_id % 3 AS tenant, row_number() OVER (PARTITION BY user_id % 3 ORDER BY event_id) AS seq, CASE WHEN event_id % 5 = 0 THEN 'rollback' ELSE 'promote' END AS action, event_id % 37 AS version FROM events),
 a AS (SELECT *, action = 'promote' OR coalesce(min(seq) FILTER (action = 'promote') OVER (PARTITION BY tenant, version), seq + 1) < seq AS accepted FROM p)
 SELECT event_id, tenant, action, version, accepted, CASE WHEN accepted THEN last_value(CASE WHEN accepted THEN version END IGNORE NULLS) OVER (PARTITION BY tenant ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) END AS previous FROM a""")
 def policy_history(spark, d):
     """Decisions in order; a rollback counts only to a version that was in force before."""
-    e, i = table(spark, d, "events").filter("event_id % 10 < 6"), F.col("event_id")
+    e, i = table(spark, d, "events"), F.col("event_id")
     rows = e.select(i, (F.col("user_id") % 3).alias("tenant"), F.when(i % 5 == 0, "rollback").otherwise("promote").alias("action"), (i % 37).alias("version"))
     own = Window.partitionBy("tenant").orderBy("event_id")
     first = F.min(F.when(F.col("action") == "promote", i)).over(Window.partitionBy("tenant", "version"))
@@ -235,11 +235,11 @@ def quantize_predictive(spark, d):
 
 RECODE = """qe AS (SELECT min(list_min(embedding::DOUBLE[])) AS lo, (max(list_max(embedding::DOUBLE[])) - min(list_min(embedding::DOUBLE[]))) / 255 AS sc FROM embeddings),
 qr AS (SELECT id, vec AS v, list_transform(vec, lambda x: lo + sc * round_even((x - lo) / sc, 0)) AS vec FROM n, qe)"""
-_NEAR = "SELECT query_id, node_id FROM (SELECT a.id AS query_id, b.id AS node_id, row_number() OVER (PARTITION BY a.id ORDER BY {c} DESC, b.id) AS rank FROM n a, {t} b WHERE a.id % 50 = 7) WHERE rank <= 10"
+_NEAR = "SELECT query_id, node_id FROM (SELECT a.id AS query_id, b.id AS node_id, row_number() OVER (PARTITION BY a.id ORDER BY {c} DESC, b.id) AS rank FROM n a, {t} b WHERE a.id % 20 = 0) WHERE rank <= 10"
 _NEARS = f"({_NEAR.format(c=COS, t='n')}) x JOIN ({_NEAR.format(c=COS, t='qr')}) y USING (query_id, node_id)"
 
 
-@query("quantize_metrics", duck(f"SELECT round(mse, 9) AS mse, round(mse / var, 9) AS normalized, round(2e0 * tp / (2 * tp + fp + fn), 9) AS f1_at_zero, (SELECT count(*) FROM {_NEARS}) / (10e0 * (SELECT count(*) FROM n WHERE id % 50 = 7)) AS top10_overlap FROM (SELECT avg((x - y) * (x - y)) AS mse, var_pop(x) AS var, count(*) FILTER (x >= 0 AND y >= 0) AS tp, count(*) FILTER (x < 0 AND y >= 0) AS fp, count(*) FILTER (x >= 0 AND y < 0) AS fn FROM (SELECT unnest(v) AS x, unnest(vec) AS y FROM qr))", RECODE))
+@query("quantize_metrics", duck(f"SELECT round(mse, 9) AS mse, round(mse / var, 9) AS normalized, round(2e0 * tp / (2 * tp + fp + fn), 9) AS f1_at_zero, (SELECT count(*) FROM {_NEARS}) / (10e0 * (SELECT count(*) FROM n WHERE id % 20 = 0)) AS top10_overlap FROM (SELECT avg((x - y) * (x - y)) AS mse, var_pop(x) AS var, count(*) FILTER (x >= 0 AND y >= 0) AS tp, count(*) FILTER (x < 0 AND y >= 0) AS fp, count(*) FILTER (x >= 0 AND y < 0) AS fn FROM (SELECT unnest(v) AS x, unnest(vec) AS y FROM qr))", RECODE))
 def quantize_metrics(spark, d):
     """What 8-bit codes over the common range lose: squared error, sign agreement, neighbours kept."""
     n = P.nodes(spark, d).select("id", "vec")

@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from evigraph import project as P
 from evigraph.functions import scalar as S
-from evigraph.operators import store
-from evigraph.plans.basics import RFC, SPIRAL, VC, cells, visible
+from evigraph.operators import retrieve, store
+from evigraph.plans.basics import BOND, RFC, SPIRAL, VC, cells, visible
 from evigraph.project import duck, table
 from evigraph.registry import query
 from evigraph.schema import LIFECYCLES, RELATIONS
@@ -63,25 +63,19 @@ def lattice_placement(spark, d):
     return table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.lag("vec_id").over(w).alias("chained_from"), bond.alias("bond"), (F.row_number().over(w) - 1).alias("place"))
 
 
-ACT = "act0 AS (SELECT id, 1.0::DOUBLE AS a FROM vn WHERE id % 25 = 4)"
-_FACTOR = "0.65 * least(1.0, greatest(0.0, bond_strength)) * (CASE WHEN bond = 'defect' THEN 0.4 ELSE 1 END) * (CASE WHEN cross_layer THEN 0.25 ELSE 1 END)"
+ACT = "act0 AS (SELECT id, 1.0::DOUBLE AS a FROM vn WHERE symptom)"
 
 
 def _act(k):
     return f"act{k} AS (SELECT id, max(a) AS a FROM (SELECT id, a FROM act{k - 1} UNION ALL SELECT f.t, p.a * f.w FROM act{k - 1} p JOIN f ON f.s = p.id) GROUP BY id)"
 
 
-@query("lattice_activation", duck("SELECT id, round(a, 9) AS activation FROM act3", f"f AS (SELECT src AS s, dst AS t, {_FACTOR} AS w FROM ve UNION ALL SELECT dst, src, {_FACTOR} FROM ve)", ACT, *[_act(k) for k in (1, 2, 3)]))
+@query("lattice_activation", duck("SELECT id, round(a, 9) AS activation FROM act3", f"f AS (SELECT src AS s, dst AS t, {BOND} AS w FROM ve UNION ALL SELECT dst, src, {BOND} FROM ve)", ACT, *[_act(k) for k in (1, 2, 3)]))
 def lattice_activation(spark, d):
     """Three rounds of the strongest signal over bonds in either direction."""
     n, e = visible(spark, d)
-    w = 0.65 * S.clamp(F.col("bond_strength")) * F.when(F.col("bond") == "defect", 0.4).otherwise(1.0) * F.when(F.col("cross_layer"), 0.25).otherwise(1.0)
-    steps = e.select(F.col("src").alias("id"), F.col("dst").alias("to"), w.alias("w"))
-    steps = steps.unionByName(steps.select(F.col("to").alias("id"), F.col("id").alias("to"), "w"))
-    act = n.filter(F.col("id") % 25 == 4).select("id", F.lit(1.0).alias("a"))
-    for _ in range(3):
-        act = act.unionByName(act.join(steps, "id").select(F.col("to").alias("id"), (F.col("a") * F.col("w")).alias("a"))).groupBy("id").agg(F.max("a").alias("a"))
-    return act.select("id", F.round("a", 9).alias("activation"))
+    seeds = n.filter("symptom").select("id", F.lit(1.0).alias("a"))
+    return retrieve.activate(seeds, e).select("id", F.round("a", 9).alias("activation"))
 
 
 @query("hyperedge_expand", duck("SELECT 'h' || g AS hyperedge_group_id, unnest([id, id + 1, id + 2]) AS src, id + 3 AS dst, 3 AS arity FROM (SELECT id, id // 10 AS g FROM n WHERE id % 10 = 0 AND id + 3 < (SELECT n FROM s))"))

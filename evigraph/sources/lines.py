@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from evigraph.functions.scalar import fnv1a
 
-BOM = "﻿"
+BOM = "\ufeff"
 
 
 def rows(spark: SparkSession, path: str, fields: int) -> tuple[DataFrame, DataFrame]:
