@@ -152,6 +152,19 @@ def activate(seeds: DataFrame, edges: DataFrame, hops: int = LATTICE_HOPS, by: t
     return out
 
 
+def khop(seeds: DataFrame, edges: DataFrame, hops: int, by: tuple[str, ...] = ()) -> DataFrame:
+    """(*by, id, node, hops): nodes within so many edges (src, dst) in either direction of each seed (*by, id), itself not
+    among them, at their least distance."""
+    both = edges.select(F.col("src").alias("at"), F.col("dst").alias("node"))
+    both = both.unionByName(both.select(F.col("node").alias("at"), F.col("at").alias("node"))).distinct()
+    keys = [*by, "id", "node"]
+    reached = seeds.select(*by, "id", F.col("id").alias("node"), F.lit(0).alias("hops"))
+    for k in range(1, hops + 1):
+        more = reached.filter(F.col("hops") == k - 1).withColumnRenamed("node", "at").join(both, "at").select(*keys, F.lit(k).alias("hops"))
+        reached = reached.unionByName(more).groupBy(*keys).agg(F.min("hops").alias("hops"))
+    return reached.filter("hops > 0")
+
+
 def find_anchors(queries: DataFrame, nodes: DataFrame) -> DataFrame:
     """(query_id, anchor, anchor_score, incident, rank): the best candidates by boosted cosine.
 

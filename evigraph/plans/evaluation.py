@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from evigraph import project as P
 from evigraph.functions import scalar as S
 from evigraph.functions.encode import predictive_codes
-from evigraph.operators import expand, process, retrieve
+from evigraph.operators import expand, process, ranges, retrieve
 from evigraph.plans.basics import COS, FNV, query_vectors, visible
 from evigraph.plans.reasoning import STEPS, steps
 from evigraph.project import duck, table
@@ -86,11 +86,11 @@ def policy_history(spark, d):
     """Decisions in order; a rollback counts only to a version that was in force before."""
     e, i = table(spark, d, "events"), F.col("event_id")
     rows = e.select(i, (F.col("user_id") % 3).alias("tenant"), F.when(i % 5 == 0, "rollback").otherwise("promote").alias("action"), (i % 37).alias("version"))
-    own = Window.partitionBy("tenant").orderBy("event_id")
-    first = F.min(F.when(F.col("action") == "promote", i)).over(Window.partitionBy("tenant", "version"))
-    rows = rows.withColumn("accepted", (F.col("action") == "promote") | F.coalesce(first < i, F.lit(False)))
-    before = F.last(F.when(F.col("accepted"), F.col("version")), ignorenulls=True).over(own.rowsBetween(Window.unboundedPreceding, -1))
-    return rows.withColumn("previous", F.when(F.col("accepted"), before))
+    first = rows.filter("action = 'promote'").groupBy("tenant", "version").agg(F.min("event_id").alias("first"))
+    rows = rows.join(first, ["tenant", "version"], "left")
+    rows = rows.withColumn("accepted", (F.col("action") == "promote") | F.coalesce(F.col("first") < i, F.lit(False))).withColumn("b", ranges.bucket("event_id"))
+    out = ranges.before(rows, ["tenant"], ["b"], ["event_id"], {"previous": F.when(F.col("accepted"), F.col("version"))})
+    return out.select("event_id", "tenant", "action", "version", "accepted", F.when(F.col("accepted"), F.col("previous")).alias("previous"))
 
 
 ENERGIES = "SELECT event_type, event_id, value / (value + 50e0) AS gold, (value + event_id % 3) / (value + 50e0 + event_id % 3) AS missing, CASE WHEN event_id % 4 = 0 THEN value / (value + 60e0) ELSE value / (value + 50e0) END AS duplicated FROM events"

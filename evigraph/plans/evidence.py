@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from evigraph import project as P
 from evigraph.functions import scalar as S
-from evigraph.operators import retrieve, store
+from evigraph.operators import ranges, retrieve, store
 from evigraph.plans.basics import BOND, RFC, SPIRAL, VC, cells, visible
 from evigraph.project import duck, table
 from evigraph.registry import query
@@ -57,10 +57,10 @@ def lattice_quality(spark, d):
 
 @query("lattice_placement", "SELECT vec_id AS id, lag(vec_id) OVER (PARTITION BY label % 3 ORDER BY label, vec_id) AS chained_from, CASE WHEN lag(label) OVER (PARTITION BY label % 3 ORDER BY label, vec_id) = label THEN 'sigma' WHEN lag(label) OVER (PARTITION BY label % 3 ORDER BY label, vec_id) IS NULL THEN NULL ELSE 'synthetic' END AS bond, row_number() OVER (PARTITION BY label % 3 ORDER BY label, vec_id) - 1 AS place FROM embeddings")
 def lattice_placement(spark, d):
-    w = Window.partitionBy(F.col("label") % 3).orderBy("label", "vec_id")
-    before = F.lag("label").over(w)
-    bond = F.when(before.isNull(), F.lit(None)).when(before == F.col("label"), "sigma").otherwise("synthetic")
-    return table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.lag("vec_id").over(w).alias("chained_from"), bond.alias("bond"), (F.row_number().over(w) - 1).alias("place"))
+    rows = table(spark, d, "embeddings").select("label", F.col("vec_id").alias("id"), (F.col("label") % 3).alias("layer"), ranges.bucket("vec_id").alias("b"))
+    rows = ranges.before(rows, ["layer"], ["label", "b"], ["label", "id"], {"chained_from": F.col("id"), "last_label": F.col("label")}, count="place")
+    bond = F.when(F.col("last_label") == F.col("label"), "sigma").when(F.col("last_label").isNotNull(), "synthetic")
+    return rows.select("id", "chained_from", bond.alias("bond"), "place")
 
 
 ACT = "act0 AS (SELECT id, 1.0::DOUBLE AS a FROM vn WHERE symptom)"

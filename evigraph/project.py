@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .operators.ranges import bucket
 from .schema import FOREVER, ORIGINS, ROLES
 
 
@@ -34,11 +35,24 @@ def nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _following(rows: DataFrame) -> DataFrame:
+    """(vec_id, n1, n2): the next two ids of the same label. Windows hold a bucket of ids each, since labels are few; a
+    label's buckets, one row each, tell where the next rows are if they lie beyond."""
+    rows = rows.withColumn("b", bucket("vec_id"))
+    w = Window.partitionBy("label", "b").orderBy("vec_id")
+    own = rows.withColumns({"n1": F.lead("vec_id", 1).over(w), "n2": F.lead("vec_id", 2).over(w)})
+    # The first two of each bucket: its least id, and the id after that.
+    heads = own.groupBy("label", "b").agg(F.min("vec_id").alias("h1"), F.min_by("n1", "vec_id").alias("h2"))
+    over = Window.partitionBy("label").orderBy("b")
+    heads = heads.select(F.col("label").alias("__l"), F.col("b").alias("__b"), F.lead("h1").over(over).alias("m1"), F.coalesce(F.lead("h2").over(over), F.lead("h1", 2).over(over)).alias("m2"))
+    out = own.join(heads, F.col("label").eqNullSafe(F.col("__l")) & (F.col("b") == F.col("__b")), "left")
+    return out.select("vec_id", F.coalesce("n1", "m1").alias("n1"), F.coalesce("n2", F.when(F.col("n1").isNotNull(), F.col("m1")).otherwise(F.col("m2"))).alias("n2"))
+
+
 def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "embeddings")
-    w = Window.partitionBy("label").orderBy("vec_id")
     v = F.col("vec_id")
-    both = e.select("vec_id", F.lead("vec_id", 1).over(w).alias("n1"), F.lead("vec_id", 2).over(w).alias("n2"))
+    both = _following(e.select("label", "vec_id"))
     out = both.select("vec_id", F.inline(F.array(F.struct(F.lit(0).alias("k"), F.col("n1").alias("dst")), F.struct(F.lit(1).alias("k"), F.when(v % 3 == 0, F.col("n2")).alias("dst"))))).filter("dst IS NOT NULL")
     source = F.when(v % 13 == 0, F.lit("")).otherwise(F.concat(F.lit("src"), (v % 7).cast("string")))
     return out.select(

@@ -3,22 +3,13 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 
 def once(stream: DataFrame, keys: list[str], path: str, checkpoint: str):
-    """A writer that appends rows of unknown keys to the table at ``path``, in a folder a batch.
+    """A writer that appends rows of unknown keys to the table at ``path``.
 
-    A batch that is repeated after a failure replaces its own folder, so no row is doubled or lost. The first batch that
-    brings a key counts; rows of one batch with equal keys are cut to one.
+    Keys met are state of the stream, in its checkpoint, so a batch reads its own rows alone; the file sink's log makes a
+    batch that is repeated after a failure count once. The first row of a key counts, and of one batch any one of them.
     """
-
-    def add(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        new = batch.dropDuplicates(keys)
-        if number:
-            old = spark.read.schema(batch.withColumn("batch", F.lit(0).cast("bigint")).schema).parquet(path)
-            new = new.join(old.filter(F.col("batch") < number).select(*keys), keys, "left_anti").select(*batch.columns)
-        new.write.mode("overwrite").parquet(f"{path}/batch={number}")
-
-    return stream.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(availableNow=True)
+    rows = stream.dropDuplicates(keys)
+    return rows.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True)
