@@ -1,4 +1,4 @@
-"""Path expansion: all simple reverse paths to roots, and forward bundles; one join a hop."""
+"""Path expansion: simple reverse paths to roots within budgets, and forward bundles; one join a hop."""
 
 from __future__ import annotations
 
@@ -6,16 +6,18 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from evigraph.functions.scalar import clamp
-from evigraph.schema import MOST_HOPS
+from evigraph.schema import MOST_HOPS, MOST_PATHS, MOST_VISITED
 from evigraph.shared import materialize
 
+COLUMNS = ["anchor", "at", "nodes", "edges", "score", "contra"]
+
 
 def _start(anchors: DataFrame) -> DataFrame:
     none = F.array().cast("array<bigint>")
     return anchors.select("anchor", F.col("anchor").alias("at"), F.array("anchor").alias("nodes"), none.alias("edges"), F.lit(1.0).alias("score"), F.lit(False).alias("contra"))
 
 
-def _step(paths: DataFrame, edges: DataFrame, here: str, there: str) -> DataFrame:
+def _step(paths: DataFrame, edges: DataFrame, here: str, there: str, also: tuple[str, ...] = ()) -> DataFrame:
     hop = edges.select(F.col(here).alias("at"), F.col(there).alias("to"), "edge_id", clamp(F.col("confidence")).alias("c"), (F.col("role") == "contradicts").alias("against"))
     out = paths.join(hop, "at").filter(~F.array_contains("nodes", F.col("to")))
     return out.select(
@@ -25,22 +27,42 @@ def _step(paths: DataFrame, edges: DataFrame, here: str, there: str) -> DataFram
         F.concat("edges", F.array("edge_id")).alias("edges"),
         (F.col("score") * F.col("c")).alias("score"),
         (F.col("contra") | F.col("against")).alias("contra"),
+        *also,
     )
 
 
-def evidence_paths(anchors: DataFrame, nodes: DataFrame, edges: DataFrame, hops: int) -> DataFrame:
-    """(anchor, at, nodes, edges, score, contra): every simple path against the edges that ends at its first root."""
-    roots = materialize(nodes.filter("root").select(F.col("id").alias("at")))
+def budgeted(anchors: DataFrame, nodes: DataFrame, edges: DataFrame, hops: int, most_visited: int = MOST_VISITED, most_paths: int = MOST_PATHS) -> tuple[DataFrame, DataFrame]:
+    """(found, cut): every simple path against the edges that ends at its first root, as (anchor, at, nodes, edges, score,
+    contra), and the anchors whose search a budget ended.
+
+    A search looks at states in order of depth, then of edge lists; after ``most_visited`` states or ``most_paths`` paths it
+    stops. The budgets hold inside each hop, so no hop grows beyond them times the edges of a node.
+    """
+    roots = materialize(nodes.filter("root").select(F.col("id").alias("at"), F.lit(True).alias("is_root")))
     edges = materialize(edges.select("edge_id", "src", "dst", "confidence", "role"))  # read by every hop
-    front, found = _start(anchors), None
-    for depth in range(min(hops, MOST_HOPS) + 1):
-        front = materialize(front)
-        hit = front.join(roots, "at", "left_semi")
+    front = _start(anchors).withColumns({"looked": F.lit(0).cast("bigint"), "had": F.lit(0).cast("bigint")})
+    queue, found, cut = Window.partitionBy("anchor").orderBy("edges"), None, None
+    last = min(hops, MOST_HOPS)
+    for depth in range(last + 1):
+        rows = front.join(roots, "at", "left").withColumn("is_root", F.coalesce("is_root", F.lit(False)))
+        rows = rows.withColumns({"place": F.col("looked") + F.row_number().over(queue), "ended": F.col("had") + F.sum(F.col("is_root").cast("int")).over(queue.rowsBetween(Window.unboundedPreceding, 0))})
+        inside = (F.col("place") <= most_visited) & (F.col("ended") - F.col("is_root").cast("int") < most_paths)
+        rows = materialize(rows.withColumn("inside", inside))
+        own = rows.filter("inside")
+        hit, over = own.filter("is_root").select(*COLUMNS), rows.filter("NOT inside").select("anchor").distinct()
         found = hit if found is None else found.unionByName(hit)
-        if depth == min(hops, MOST_HOPS) or front.isEmpty():
+        cut = over if cut is None else cut.unionByName(over)
+        if depth == last or own.isEmpty():
             break
-        front = _step(front.join(roots, "at", "left_anti"), edges, "dst", "src")
-    return found
+        each = Window.partitionBy("anchor")
+        on = own.withColumns({"looked": F.max("place").over(each), "had": F.max("ended").over(each)}).filter("NOT is_root")
+        front = _step(on, edges, "dst", "src", ("looked", "had"))
+    return found, cut.distinct()
+
+
+def evidence_paths(anchors: DataFrame, nodes: DataFrame, edges: DataFrame, hops: int, **budgets: int) -> DataFrame:
+    """The paths of budgeted()."""
+    return budgeted(anchors, nodes, edges, hops, **budgets)[0]
 
 
 def joint_hops(members: DataFrame, nodes: DataFrame) -> DataFrame:

@@ -168,23 +168,27 @@ def lattice_cells(spark, d):
     return c.join(k, "id", "left").withColumn("neighbours", F.coalesce("neighbours", F.lit(0)))
 
 
-@query("lattice_khop_physical", duck("SELECT id, node, min(hops) AS hops FROM (SELECT a.id, b.id AS node, greatest(abs(a.q - b.q), abs(a.r - b.r), abs(a.q - b.q + a.r - b.r)) AS hops FROM vc a JOIN vc b ON a.id <> b.id WHERE a.id % 20 = 0) WHERE hops <= 1 GROUP BY ALL", SPIRAL, VC))
+def KHOP(steps: str, hops: int) -> str:  # noqa: N802
+    return f"SELECT id, node, min(h) AS hops FROM (WITH RECURSIVE kh AS (SELECT id, id AS node, 0 AS h FROM vn WHERE id % 20 = 0 UNION SELECT kh.id, u.b, kh.h + 1 FROM kh JOIN {steps} u ON u.a = kh.node WHERE kh.h < {hops}) SELECT * FROM kh) WHERE node <> id GROUP BY ALL"
+
+
+ADJACENT = "(SELECT a.id AS a, b.id AS b FROM vc a JOIN vc b ON a.layer = b.layer AND (b.q - a.q, b.r - a.r) IN ((1, 0), (1, -1), (0, -1), (-1, 0), (-1, 1), (0, 1)))"
+
+
+@query("lattice_khop_physical", duck(KHOP(ADJACENT, 2), SPIRAL, VC))
 def lattice_khop_physical(spark, d):
-    pairs = store.hex_neighbours(cells(spark, d)).filter(F.col("id") % 20 == 0)
-    return pairs.select("id", F.col("neighbour").alias("node"), F.lit(1).cast("bigint").alias("hops")).distinct()
+    """Nodes within two steps between held cells that touch."""
+    touch = store.hex_neighbours(cells(spark, d, True)).select(F.col("id").alias("src"), F.col("neighbour").alias("dst"))
+    return retrieve.khop(visible(spark, d)[0].filter(F.col("id") % 20 == 0).select("id"), touch, 2)
 
 
 UND = "u AS (SELECT DISTINCT a, b FROM (SELECT src AS a, dst AS b FROM ve UNION ALL SELECT dst, src FROM ve))"
 
 
-@query("lattice_khop_bond", duck("SELECT id, node, min(h) AS hops FROM (SELECT a AS id, b AS node, 1 AS h FROM u WHERE a % 20 = 0 UNION ALL SELECT x.a, y.b, 2 FROM u x JOIN u y ON x.b = y.a WHERE x.a % 20 = 0 AND y.b <> x.a) GROUP BY ALL", UND))
+@query("lattice_khop_bond", duck(KHOP("u", 3), UND))
 def lattice_khop_bond(spark, d):
-    e = visible(spark, d)[1]
-    u = e.select(F.col("src").alias("a"), F.col("dst").alias("b")).union(e.select("dst", "src")).distinct()
-    one = u.filter(F.col("a") % 20 == 0)
-    two = one.alias("x").join(u.alias("y"), F.col("x.b") == F.col("y.a")).select(F.col("x.a").alias("a"), F.col("y.b").alias("b")).filter("a <> b")
-    both = one.withColumn("h", F.lit(1)).unionByName(two.withColumn("h", F.lit(2)))
-    return both.groupBy(F.col("a").alias("id"), F.col("b").alias("node")).agg(F.min("h").alias("hops"))
+    n, e = visible(spark, d)
+    return retrieve.khop(n.filter(F.col("id") % 20 == 0).select("id"), e, 3)
 
 
 @query("lattice_capacity", "SELECT r, 1 + 3 * r * (r + 1) AS capacity, n, (n::DOUBLE / (1 + 3 * r * (r + 1))) AS utilization, ceil((-3 + sqrt(12.0 * n - 3)) / 6)::BIGINT AS minimum_radius FROM (SELECT unnest([5, 10, 20, 50]) AS r, (SELECT count(*) FROM embeddings) AS n)")

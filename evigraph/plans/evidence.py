@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from evigraph import project as P
 from evigraph.functions import scalar as S
-from evigraph.operators import ranges, retrieve, store
+from evigraph.operators import ranges, resolve, retrieve, store
 from evigraph.plans.basics import BOND, RFC, SPIRAL, VC, cells, visible
 from evigraph.project import duck, table
 from evigraph.registry import query
@@ -87,11 +87,14 @@ def hyperedge_expand(spark, d):
     return h.select("hyperedge_group_id", F.explode("sources").alias("src"), "dst", F.lit(3).alias("arity"))
 
 
-@query("hyperedge_complete", duck("SELECT g, count(*) = 3 AND min(src) = 10 * g AND max(src) = 10 * g + 2 AS complete FROM (SELECT id AS src, id // 10 AS g FROM vn WHERE id % 10 < 3) GROUP BY g"))
+@query("hyperedge_complete", duck("SELECT g, list_sort(list(src)) = list_sort(any_value(declared)) AS complete FROM (SELECT id AS src, id // 10 AS g FROM vn WHERE id % 10 < 3) JOIN (SELECT id // 10 AS g, CASE WHEN id % 70 = 0 THEN [id, id + 1] ELSE [id, id + 1, id + 2] END AS declared FROM n WHERE id % 10 = 0) USING (g) GROUP BY g"))
 def hyperedge_complete(spark, d):
-    n = visible(spark, d)[0].filter(F.col("id") % 10 < 3).withColumn("g", F.floor(F.col("id") / 10))
-    have = F.array_sort(F.collect_list("id"))
-    return n.groupBy("g").agg((have == F.array(10 * F.col("g"), 10 * F.col("g") + 1, 10 * F.col("g") + 2)).alias("complete"))
+    """Visible sources of each joint cause against those it declares; every seventh declares one less than it has."""
+    i = F.col("id")
+    declared = P.nodes(spark, d).filter(i % 10 == 0).select(F.floor(i / 10).alias("g"), F.when(i % 70 == 0, F.array(i, i + 1)).otherwise(F.array(i, i + 1, i + 2)).alias("declared"))
+    members = visible(spark, d)[0].filter(i % 10 < 3).select(F.floor(i / 10).alias("g"), i.alias("src"))
+    have = members.groupBy("g").agg(F.array_sort(F.collect_set("src")).alias("have"))
+    return have.join(declared, "g").select("g", (F.col("have") == F.array_sort("declared")).alias("complete"))
 
 
 @query("extract_chain", "SELECT conv_id, turn, lag(turn) OVER (PARTITION BY conv_id ORDER BY turn) AS from_turn, CASE WHEN lag(turn) OVER (PARTITION BY conv_id ORDER BY turn) IS NULL THEN 'root' WHEN lead(turn) OVER (PARTITION BY conv_id ORDER BY turn) IS NULL THEN 'impact' ELSE 'node' END AS kind FROM conversations")
@@ -119,12 +122,17 @@ def extraction_conflicts(spark, d):
     return _upsert(spark, d)[2].select("conv_id", "turn", F.col("old_size").alias("stored"), F.col("size").alias("requested"))
 
 
-@query("idempotency_check", "SELECT p.page_id, CASE WHEN p.page_id % 3 = 0 THEN 409 ELSE 200 END AS status FROM pages p")
+@query("idempotency_check", "SELECT page_id, CASE WHEN page_id % 2 = 1 THEN 201 WHEN page_id % 3 = 0 THEN 409 ELSE 200 END AS status FROM pages")
 def idempotency_check(spark, d):
-    """A key that comes again with the same text is a replay (200), with another a conflict (409)."""
-    p = table(spark, d, "pages").select("page_id", "url")
-    again = p.select("page_id", F.when(F.col("page_id") % 3 == 0, F.concat("url", F.lit("!"))).otherwise(F.col("url")).alias("sent"))
-    return p.join(again, "page_id").select("page_id", F.when(F.col("url").eqNullSafe(F.col("sent")), 200).otherwise(409).alias("status"))
+    """Requests by key against stored ones: an unknown key is new (201), the same text a replay (200), another a conflict
+    (409). Of a text only its hash is stored."""
+    p = table(spark, d, "pages").select("page_id", F.concat(F.lit("key-"), F.col("page_id").cast("string")).alias("key"), F.coalesce("url", F.lit("")).alias("url"))
+    stored = p.filter("page_id % 2 = 0").select("key", S.fnv1a(F.col("url")).alias("hash"))
+    sent = F.when(F.col("page_id") % 3 == 0, F.concat("url", F.lit("!"))).otherwise(F.col("url"))
+    asked = p.select("page_id", "key", S.fnv1a(sent).alias("hash"), F.col("page_id").alias("seq"))
+    new, same, other = store.upsert(stored, asked, ["key"], ["hash"])
+    status = new.select("key", F.lit(201).alias("status")).unionByName(same.select("key", F.lit(200).alias("status"))).unionByName(other.select("key", F.lit(409).alias("status")))
+    return asked.join(status, "key").select("page_id", "status")
 
 
 LINES = "CASE page_id % 3 WHEN 0 THEN 'P' || page_id || chr(9) || 'hosted_in' || chr(9) || 'H' || (page_id % 7) WHEN 1 THEN '# note ' || page_id ELSE 'P' || page_id || chr(9) || 'Calls' END"
@@ -151,14 +159,27 @@ def ontology_validate(spark, d):
     return c.select("c_custkey", "relation", warning.alias("warning"))
 
 
-@query("entity_resolve", "SELECT mention, CASE WHEN n = 1 THEN id END AS resolved, n > 1 AS ambiguous FROM (SELECT n_name AS mention, count(*) AS n, min(id) AS id FROM nation JOIN (SELECT n_nationkey AS id, n_name AS name FROM nation UNION ALL SELECT 100 + r_regionkey, r_name FROM region) ON lower(name) = lower(n_name) GROUP BY n_name)")
+RESOLVE = """rec AS (SELECT n_nationkey AS id, n_name AS name, 'country' AS type, [substr(n_name, 1, 3), 'Republic of ' || n_name] AS aliases, n_regionkey AS ctx FROM nation UNION ALL SELECT 100 + r_regionkey, r_name, 'region', ['The ' || r_name], r_regionkey FROM region
+ UNION ALL SELECT 200 + n_nationkey, n_name, 'team', ['Team ' || n_name], 9 FROM nation WHERE n_nationkey % 4 = 0),
+nm AS (SELECT id, type, ctx, needle, max(w) AS lexical FROM (SELECT id, type, ctx, lower(name) AS needle, 1e0 AS w FROM rec UNION ALL SELECT id, type, ctx, lower(unnest(aliases)), 0.98e0 FROM rec) GROUP BY ALL),
+mn AS (SELECT n_nationkey AS mention_id, CASE n_nationkey % 3 WHEN 0 THEN n_name WHEN 1 THEN substr(n_name, 1, 3) ELSE 'The ' || r_name END AS text, CASE n_nationkey % 5 WHEN 1 THEN 'country' WHEN 2 THEN 'city' ELSE '' END AS type, n_regionkey AS ctx FROM nation JOIN region ON n_regionkey = r_regionkey),
+sc AS (SELECT *, row_number() OVER (PARTITION BY mention_id ORDER BY score DESC, id) AS k, lead(score) OVER (PARTITION BY mention_id ORDER BY score DESC, id) AS second FROM (SELECT mention_id, id, round(0.72 * lexical + 0.18 * CASE WHEN m.type = '' THEN 0.5 WHEN m.type = nm.type THEN 1 ELSE 0 END + 0.10 * (m.ctx = nm.ctx)::INT, 12) AS score FROM mn m JOIN nm ON nm.needle = lower(m.text)))"""
+
+
+@query("entity_resolve", f"WITH {RESOLVE} SELECT mention_id, CASE WHEN score >= 0.65 AND NOT coalesce(score - second <= 0.05, false) THEN id END AS resolved, coalesce(score >= 0.65 AND score - second <= 0.05, false) AS ambiguous, score FROM mn LEFT JOIN (SELECT * FROM sc WHERE k = 1) USING (mention_id)")
 def entity_resolve(spark, d):
-    nation, region = table(spark, d, "nation"), table(spark, d, "region")
-    known = nation.select(F.col("n_nationkey").alias("id"), F.col("n_name").alias("name")).union(region.select(F.col("r_regionkey") + 100, "r_name")).select("id", S.entity_name(F.col("name")).alias("needle"))
-    m = nation.select(F.col("n_name").alias("mention"), S.entity_name(F.col("n_name")).alias("needle"))
-    scored = m.join(known, "needle").withColumn("score", F.lit(0.72 + 0.18 * 0.5))
-    top = scored.groupBy("mention").agg(F.count("*").alias("k"), F.min("id").alias("id"))
-    return top.select("mention", F.when(F.col("k") == 1, F.col("id")).alias("resolved"), (F.col("k") > 1).alias("ambiguous"))
+    """Countries, regions and teams by name or alias; the type expected and shared context decide between equal names."""
+    c, r = table(spark, d, "nation"), table(spark, d, "region")
+    text = lambda *parts: F.concat(*[F.lit(p) if p[0].isupper() else F.col(p) for p in parts])
+    ctx = lambda c: F.array(F.concat(F.lit("r"), F.col(c).cast("string"))) if isinstance(c, str) else F.array(F.lit(f"r{c}"))
+    key = lambda c, k: (F.col(c) + k).cast("bigint").alias("id")
+    records = c.select(key("n_nationkey", 0), F.col("n_name").alias("name"), F.lit("country").alias("type"), F.array(F.substring("n_name", 1, 3), text("Republic of ", "n_name")).alias("aliases"), ctx("n_regionkey").alias("context"))
+    records = records.unionByName(r.select(key("r_regionkey", 100), F.col("r_name").alias("name"), F.lit("region").alias("type"), F.array(text("The ", "r_name")).alias("aliases"), ctx("r_regionkey").alias("context")))
+    records = records.unionByName(c.filter("n_nationkey % 4 = 0").select(key("n_nationkey", 200), F.col("n_name").alias("name"), F.lit("team").alias("type"), F.array(text("Team ", "n_name")).alias("aliases"), ctx(9).alias("context")))
+    i = F.col("n_nationkey")
+    said = F.when(i % 3 == 0, F.col("n_name")).when(i % 3 == 1, F.substring("n_name", 1, 3)).otherwise(text("The ", "r_name"))
+    mentions = c.join(r, F.col("n_regionkey") == F.col("r_regionkey")).select(i.alias("mention_id"), said.alias("text"), F.when(i % 5 == 1, "country").when(i % 5 == 2, "city").otherwise("").alias("type"), ctx("n_regionkey").alias("context"))
+    return resolve.resolve(mentions, records)
 
 
 EPISODES = """ep AS (SELECT event_id AS id, user_id % 3 AS tenant, event_type AS domain, CASE WHEN event_id % 10 < 6 THEN 'training' WHEN event_id % 10 < 9 THEN 'development' ELSE 'evaluation' END AS split, event_id % 4 AS version, event_id % 7 <> 0 AS verified, event_id % 3 <> 0 AS success,

@@ -13,6 +13,8 @@ from evigraph.project import duck, table
 from evigraph.registry import query
 
 HOPS, FORWARD_HOPS, BUDGET, LATEST = 4, 3, 6, 5
+#: States a search looks at and paths it finds, where a query holds them low.
+VISITS, PATHS = 9, 2
 
 EXPAND = f"""x AS (SELECT id AS anchor, id AS at_, [id] AS nodes, []::BIGINT[] AS edges, 1.0::DOUBLE AS score, false AS contra, root FROM vn WHERE symptom
  UNION ALL SELECT x.anchor, e.src, list_append(x.nodes, e.src), list_append(x.edges, e.edge_id), x.score * e.confidence, x.contra OR e.role = 'contradicts', p.root FROM x JOIN ve e ON e.dst = x.at_ JOIN vn p ON p.id = e.src WHERE NOT x.root AND len(x.edges) < {HOPS} AND NOT list_contains(x.nodes, e.src)),
@@ -29,12 +31,21 @@ def evidence_expand(spark, d):
     return symptom_paths(spark, d)[0].select("anchor", F.col("at").alias("root"), F.array_join("edges", ",").alias("rev_edges"), F.round("score", 9).alias("score"), "contra")
 
 
-@query("expansion_budget", duck(f"SELECT anchor, count(*) FILTER (used <= {BUDGET}) AS kept, count(*) FILTER (used > {BUDGET}) > 0 AS truncated FROM (SELECT anchor, sum(len(edges)) OVER (PARTITION BY anchor ORDER BY len(edges), edges ROWS UNBOUNDED PRECEDING) AS used FROM found) GROUP BY anchor", EXPAND, recursive=True))
+@query(
+    "expansion_budget",
+    duck(
+        f"SELECT anchor, count(*) FILTER (root AND rn <= {VISITS} AND ended <= {PATHS}) AS kept, bool_or(rn > {VISITS} OR ended - root::INT >= {PATHS}) AS truncated FROM (SELECT anchor, root, row_number() OVER w AS rn, sum(root::INT) OVER w AS ended FROM x WINDOW w AS (PARTITION BY anchor ORDER BY len(edges), edges ROWS UNBOUNDED PRECEDING)) GROUP BY anchor",
+        EXPAND,
+        recursive=True,
+    ),
+)
 def expansion_budget(spark, d):
-    """Paths of each anchor, in order of discovery, while the edges walked stay within the budget."""
-    w = Window.partitionBy("anchor").orderBy(F.size("edges"), "edges").rowsBetween(Window.unboundedPreceding, 0)
-    used = symptom_paths(spark, d)[0].select("anchor", F.sum(F.size("edges")).over(w).alias("used"))
-    return used.groupBy("anchor").agg(F.count_if(F.col("used") <= BUDGET).alias("kept"), (F.count_if(F.col("used") > BUDGET) > 0).alias("truncated"))
+    """Paths of each anchor that a search finds before it has looked at so many states or found so many paths."""
+    n, e = visible(spark, d)
+    anchors = n.filter("symptom").select(F.col("id").alias("anchor"))
+    found, cut = expand.budgeted(anchors, n, e, HOPS, VISITS, PATHS)
+    out = anchors.join(found.groupBy("anchor").agg(F.count("*").alias("kept")), "anchor", "left").join(cut.withColumn("truncated", F.lit(True)), "anchor", "left")
+    return out.select("anchor", F.coalesce("kept", F.lit(0)).alias("kept"), F.coalesce("truncated", F.lit(False)).alias("truncated"))
 
 
 @query(
