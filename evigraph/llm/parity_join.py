@@ -12,10 +12,11 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401 (pa.compute)
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, give_back, grouped, materialize, slices, text_or_empty, worker_state
+from .common import SPACE_CLASS, discard, give_back, grouped, materialize, slices, text_or_empty, worker_state
 from .components import components
 
 WORDS = 5
@@ -139,54 +140,97 @@ def cell_keys(s: np.ndarray, num: int = NUM, den: int = DEN) -> np.ndarray:
     return np.concatenate(keys).view(np.int64) if keys else np.zeros(0, np.int64)
 
 
-def _texts(docs: DataFrame) -> DataFrame:
-    return docs.select(F.col("doc_id").cast("bigint"), text_or_empty().alias("text"))
+MARK = pa.struct([("doc_id", pa.int64()), ("n", pa.int64()), ("tk", pa.int64()), ("tk2", pa.int64()), ("sk", pa.binary())])
+ROWS = "key bigint, f bigint, mark struct<doc_id:bigint,n:bigint,tk:bigint,tk2:bigint,sk:binary>"
 
 
-def fingerprints(docs: DataFrame, words: int = WORDS) -> DataFrame:
-    """doc_id, f (name of the set), n (its size), sk (bit sketch) of every row."""
+def text_keys() -> list:
+    """Two names of a row's text by its content."""
+    return [F.xxhash64(text_or_empty()), F.xxhash64(text_or_empty(), F.lit(1))]
 
-    def run(batches):
-        make = shingler(words)
-        for batch in slices(batches):
-            f, n, sk = [], [], []
-            for data in batch.column(1).cast(pa.binary()).to_pylist():
-                s = make(data)
-                f.append(fingerprint(s))
-                n.append(len(s))
-                sk.append(sketch(s))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(f, pa.int64()), pa.array(n, pa.int64()), pa.array(sk, pa.binary())], names=["doc_id", "f", "n", "sk"])
 
-    return _texts(docs).mapInArrow(run, "doc_id bigint, f bigint, n bigint, sk binary")
+def _texts(docs: DataFrame) -> DataFrame:
+    tk, tk2 = text_keys()
+    return docs.select(F.col("doc_id").cast("bigint"), text_or_empty().alias("text"), tk.alias("tk"), tk2.alias("tk2"))
+
+
+def _rows(key, f, mark) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), pa.array(f, pa.int64()), mark], names=["key", "f", "mark"])
 
 
-def cells(docs: DataFrame, words: int = WORDS, num: int = NUM, den: int = DEN) -> DataFrame:
-    """(key, f) of every set's cells to emit; a task emits a set it meets again only once."""
+def marks_and_cells(docs: DataFrame, words: int = WORDS, num: int = NUM, den: int = DEN) -> DataFrame:
+    """One pass over the texts: a row with ``mark`` for every document (f names its set, n is its size; a set's sketch comes
+    with one of its rows a task at least) and rows (key, f) of every set's cells to emit, once a task.
+
+    A marked row's key is that of its text and doc_id, so that marks of copies part.
+    """
 
     def run(batches):
         make, met = shingler(words), set()
         for batch in slices(batches):
-            keys, names, size = [], [], 0
+            keys, names, size, f_out, n_out, sk_out = [], [], 0, [], [], []
             for data in batch.column(1).cast(pa.binary()).to_pylist():
                 s = make(data)
                 f = fingerprint(s)
+                f_out.append(f)
+                n_out.append(len(s))
                 if not f or f in met:
+                    sk_out.append(None)
                     continue
                 if len(met) >= 100_000:
                     met.clear()
                 met.add(f)
+                sk_out.append(sketch(s))
                 k = cell_keys(s, num, den)
                 keys.append(k)
                 names.append(np.full(len(k), f, np.int64))
                 size += len(k)
                 if size > 50_000:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(np.concatenate(names))], names=["key", "f"])
+                    yield _rows(np.concatenate(keys), np.concatenate(names), pa.nulls(size, MARK))
                     keys, names, size = [], [], 0
-            if keys:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(np.concatenate(names))], names=["key", "f"])
+            if size:
+                yield _rows(np.concatenate(keys), np.concatenate(names), pa.nulls(size, MARK))
+            ids = batch.column(0)
+            mark = pa.StructArray.from_arrays([ids, pa.array(n_out, pa.int64()), batch.column(2), batch.column(3), pa.array(sk_out, pa.binary())], fields=list(MARK))
+            own = mix(batch.column(2).to_numpy().view(np.uint64) + mix(ids.fill_null(0).to_numpy().view(np.uint64) ^ ODD))
+            yield _rows(own.view(np.int64), f_out, mark)
         give_back()
 
-    return _texts(docs).mapInArrow(run, "key bigint, f bigint")
+    return _texts(docs).mapInArrow(run, ROWS)
+
+
+def shared_cells(rows: DataFrame) -> DataFrame:
+    """Marked rows as they are, and of the others those whose key several sets have, each once.
+
+    Rows meet by key and pass in order, so a cell of any size takes one row of memory.
+    """
+
+    def run(batches):
+        last, told = None, False  # the last cell row met and whether it was handed on
+        for batch in batches:
+            plain = batch.column(2).is_null()
+            if plain.false_count:
+                yield batch.filter(pa.compute.invert(plain))
+            if not plain.true_count:
+                continue
+            cells_ = batch.filter(plain)
+            key, f = cells_.column(0).to_numpy(), cells_.column(1).to_numpy()
+            if last is not None:
+                key, f = np.r_[last[0], key], np.r_[last[1], f]
+            new = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (f[1:] != f[:-1])])
+            key, f = key[new], f[new]
+            same = key[1:] == key[:-1]
+            member = np.r_[False, same] | np.r_[same, False]
+            out = member.copy()
+            if last is not None and told:
+                out[0] = False
+            at = np.flatnonzero(out)
+            told = bool(member[-1]) or (told and len(key) == 1)
+            last = (key[-1], f[-1])
+            if len(at):
+                yield _rows(key[at], f[at], pa.nulls(len(at), MARK))
+
+    return rows.repartition("key").sortWithinPartitions("key", "f").mapInArrow(run, ROWS)
 
 
 def _popcount(x: np.ndarray) -> np.ndarray:
@@ -215,7 +259,7 @@ def near_by_sketch(pairs: DataFrame, nodes: DataFrame, num: int = NUM, den: int
 def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, words: int = WORDS, num: int = NUM, den: int = DEN) -> DataFrame:
     """Of the pairs (a, b), those whose sets reach the similarity, from the sets themselves."""
     wanted = pairs.select(F.col("a").alias("f")).union(pairs.select(F.col("b").alias("f"))).distinct()
-    first = materialize(nodes.join(wanted, "f").select("doc", "f"))
+    first = asked = materialize(nodes.join(wanted, "f").select("doc", "f"))
     if first.count() <= MOST_BROADCAST:
         first = F.broadcast(first)
 
@@ -230,10 +274,9 @@ def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, words: int = W
                     out_s.append(s.tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(out_f, pa.int64()), pa.array(out_s, pa.binary())], names=["f", "s"])
 
-    texts = _texts(docs)
+    texts = _texts(docs).select("doc_id", "text")
     rows = texts.join(first, texts["doc_id"].eqNullSafe(first["doc"])).select("text", "f").mapInArrow(sets, "f bigint, s binary")
-    table = materialize(rows)
-    rows = table.groupBy("f").agg(F.first("s").alias("s"))
+    rows = table = materialize(rows.groupBy("f").agg(F.first("s").alias("s")))  # in a table, so that a join may split a hot set
 
     def check(batches):
         for batch in batches:
@@ -246,7 +289,7 @@ def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, words: int = W
 
     one, two = rows.select(F.col("f").alias("a"), F.col("s").alias("x")), rows.select(F.col("f").alias("b"), F.col("s").alias("y"))
     out = materialize(pairs.join(two, "b").join(one, "a").select("a", "b", "x", "y").mapInArrow(check, "a bigint, b bigint"))
-    discard(table)
+    discard(table, asked)
     return out
 
 
@@ -311,61 +354,64 @@ def _exhaustive(open_: DataFrame, nodes: DataFrame, num: int, den: int, block: i
 
 
 def link_components(docs: DataFrame, words: int = WORDS, num: int = NUM, den: int = DEN) -> DataFrame:
-    """doc_id, f, n_shingles, component_id of every row.
+    """doc_id, f, n_shingles, tk, tk2, component_id of every row.
 
-    ``f`` names the row's shingle set; rows of one set are linked. Null and empty texts have no shingles, f 0, and stand
+    ``f`` names the row's shingle set, tk and tk2 its text; rows of one set are linked. Null and empty texts have no shingles, f 0, and stand
     alone with their own doc_id. component_id is the least doc_id reached (null only where no row reached has one).
     Repeated rows stay; an empty table gives no rows; other columns are not read.
     """
-    marks = materialize(fingerprints(docs, words))
-    nodes = materialize(marks.filter("f <> 0").groupBy("f").agg(F.min("doc_id").alias("doc"), F.first("n").alias("n"), F.first("sk").alias("sk")))
-    parts = cells(docs, words, num, den).repartition("key")
-    shared = parts.groupBy("key").agg(F.min("f").alias("lo"), F.max("f").alias("hi")).filter("lo < hi")
-    members = materialize(parts.join(shared.select("key"), "key").distinct())
+    met = materialize(shared_cells(marks_and_cells(docs, words, num, den)))
+    marks = met.filter("mark IS NOT NULL").select("mark.*", "f")
+    nodes = materialize(marks.filter("f <> 0").groupBy("f").agg(F.min("doc_id").alias("doc"), F.first("n").alias("n"), F.first("sk", ignorenulls=True).alias("sk")))
+    members = met.filter("mark IS NULL").select("key", "f")
     # First each member with one of its cell; then, of cells still in several components, with others; then all the rest.
-    tried = edges = label = None
+    tried = edges = label = open_ = None
+    used = []
     for k in range(ROUNDS + 1):
-        open_ = members if label is None else materialize(_open(members, label))
+        before = open_
+        open_ = members if label is None else materialize(_open(members if before is members else before.select("key", "f"), label))
+        if before is not None and before is not members:
+            discard(before)
         if label is not None and open_.isEmpty():
             break
-        pairs = _stars(open_, k) if k < ROUNDS else _exhaustive(open_, nodes, num, den)
-        if k < ROUNDS:
-            pairs = near_by_sketch(pairs, nodes, num, den)
-        near = materialize(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"))
+        # In a table, so that few pairs are known to be few and the sets' sketches needn't move.
+        pairs = materialize(_stars(open_, k) if k < ROUNDS else _exhaustive(open_, nodes, num, den))
+        near = near_by_sketch(pairs, nodes, num, den) if k < ROUNDS else pairs
+        near = materialize(near if tried is None else near.join(tried, ["a", "b"], "left_anti"))
+        discard(pairs)
+        used.append(near)
         tried = near if tried is None else tried.unionByName(near)
-        if k and near.isEmpty():
+        if near.isEmpty() and label is not None:
             continue
         new = verified(near, nodes, docs, words, num, den)
+        used.append(new)
+        if label is not None and new.isEmpty():
+            continue
         edges = new if edges is None else edges.unionByName(new)
-        label = materialize(_label(nodes, edges))
+        old, label = label, materialize(_label(nodes, edges))
+        if old is not None:
+            discard(old)
     named = nodes.select("f", "doc").join(label, "f")
     least = named.groupBy("c").agg(F.min("doc").alias("component_id"))
     named = materialize(named.join(least, "c").select("f", "component_id"))
-    slim = materialize(marks.select("doc_id", "f", "n"))
-    discard(members, nodes, marks)
-    marks = slim
-    return marks.select("doc_id", "f", F.col("n").alias("n_shingles")).join(named, "f", "left").withColumn("component_id", F.when(F.col("f") == 0, F.col("doc_id")).otherwise(F.col("component_id")))
+    marks = materialize(marks.select("doc_id", "f", "n", "tk", "tk2"))
+    discard(met, nodes, label, *used)
+    return marks.select("doc_id", "f", F.col("n").alias("n_shingles"), "tk", "tk2").join(named, "f", "left").withColumn("component_id", F.when(F.col("f") == 0, F.col("doc_id")).otherwise(F.col("component_id")))
 
 
 def keep_one(docs: DataFrame, words: int = WORDS, num: int = NUM, den: int = DEN) -> DataFrame:
-    """One row of each component, that of the least doc_id (then the least set name); rows without words all stay.
+    """One row of each component, that of the least doc_id (then the least set and text names); rows without words all stay.
 
-    Returns the columns of ``docs``; of rows that repeat both doc_id and shingle set one stays.
+    Returns the columns of ``docs``; of rows that repeat both doc_id and text one stays.
     """
-    found = materialize(link_components(docs, words, num, den).select("doc_id", "f", "component_id"))
-    kept = found.filter("f <> 0").groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no"), F.col("doc_id").alias("i"), F.col("f").alias("f"))).alias("k"))
-    kept = kept.select(F.coalesce("k.i", F.lit(0)).alias("__i"), F.col("k.no").alias("__no"), F.col("k.f").alias("__f"))
-    names = docs.columns
-
-    def mark(batches):
-        make = shingler(words)
-        for batch in slices(batches):
-            data = batch.column(batch.num_columns - 1).cast(pa.binary()).to_pylist()
-            f = pa.array([fingerprint(make(d)) for d in data], pa.int64())
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], f], names=[*batch.schema.names[:-1], "__f"])
-
-    schema = docs.withColumn("__f", F.lit(0).cast("bigint")).schema
-    rows = docs.withColumn("__f", text_or_empty()).mapInArrow(mark, schema)
-    rows = rows.withColumns({"__i": F.coalesce(F.col("doc_id").cast("bigint"), F.lit(0)), "__no": F.col("doc_id").isNull()})
-    full = rows.filter("__f <> 0").join(kept, ["__f", "__i", "__no"], "left_semi").dropDuplicates(["__f", "__i", "__no"])
-    return full.select(*names).unionByName(rows.filter("__f = 0").select(*names))
+    found = materialize(link_components(docs, words, num, den).select("doc_id", "f", "tk", "tk2", "component_id"))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("no"), F.col("doc_id").alias("i"), "f", "tk", "tk2"))
+    kept = found.filter("f <> 0").groupBy("component_id").agg(first.alias("k")).select("k.i", "k.no", "k.tk", "k.tk2")
+    kept = kept.unionByName(found.filter("f = 0").select(F.col("doc_id").alias("i"), F.col("doc_id").isNull().alias("no"), "tk", "tk2").distinct())
+    mine = {"__i": F.coalesce(F.col("doc_id").cast("bigint"), F.lit(0)), "__no": F.col("doc_id").isNull()} | dict(zip(("__tk", "__tk2"), text_keys(), strict=True))
+    own = list(mine)
+    kept = kept.select(F.coalesce("i", F.lit(0)).alias("__i"), F.col("no").alias("__no"), F.col("tk").alias("__tk"), F.col("tk2").alias("__tk2"))
+    words_ = F.length(F.regexp_replace(text_or_empty(), f"^[{SPACE_CLASS}]+", "")) > 0
+    rows = docs.withColumns(mine).join(kept, own, "left_semi")
+    bare = rows.filter(~words_).select(*docs.columns)
+    return rows.filter(words_).dropDuplicates(own).select(*docs.columns).unionByName(bare)
