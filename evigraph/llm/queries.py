@@ -57,9 +57,10 @@ def op8_parity_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = suffix_dedup.remove_repeats(_read(spark, sf_dir, "documents").select("doc_id", "text"))
+    rows = suffix_dedup.remove_repeats(_read(spark, sf_dir, "documents").select("doc_id", "text"), short=suffix_dedup.SHORT)
     n = F.octet_length(F.coalesce("text", F.lit(""))).cast("bigint")
-    return rows.select("doc_id", n.alias("n_bytes"), (n - F.octet_length("__kept")).alias("n_removed"), F.size("__spans").cast("bigint").alias("n_spans"), F.sha2("__kept", 256).alias("kept_sha256"))
+    shared = F.aggregate("__shared", F.lit(0).cast("bigint"), lambda s, x: s + x["end"] - x["start"])  # bytes in repeated strings of 240
+    return rows.select("doc_id", n.alias("n_bytes"), (n - F.octet_length("__kept")).alias("n_removed"), F.size("__spans").cast("bigint").alias("n_spans"), F.sha2("__kept", 256).alias("kept_sha256"), shared.alias("n_shared"))
 
 
 def op10_decision_lists(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -19,7 +19,8 @@ from .common import discard, give_back, grouped, materialize, slices, text_or_em
 from .parity_join import MIX2, ODD, mix
 
 LEAST = 400
-GRAM = 64
+#: Bytes of the strings that a second, finer look judges (passages of fifty words have some 250), and of anchor strings.
+SHORT, GRAM = 240, 32
 #: Neighbourhoods of one anchor string that are compared in memory (some 50 MB); beyond, hashes of their strings are counted instead.
 MOST_IN_MEMORY = 50_000
 #: Groups up to this size are compared by a matrix of common lengths.
@@ -73,16 +74,18 @@ def sliding_argmin(h: np.ndarray, width: int) -> np.ndarray:
     return at[np.r_[True, at[1:] != at[:-1]]]
 
 
-def anchors(data: bytes, least: int = LEAST, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Places, hashes of the gram there, and hashes of the whole neighbourhood (up to least bytes right, least - 1 left)."""
+def anchors(data: bytes, levels: tuple[int, ...] = (LEAST,), gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Places, hashes of the gram there, and hashes of the whole neighbourhood (up to least bytes right, least - 1 left, of
+    the longest level); every string of the shortest level has an anchor."""
+    least, short = max(levels), min(levels)
     raw = np.frombuffer(data, np.uint8)
-    if len(raw) < least:
+    if len(raw) < short:
         return np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.uint64)
     sums = prefix_sums(raw)
     m = len(raw) - gram + 1
     _, down = POWERS(len(sums))
     h = mix((sums[gram:] - sums[:-gram]) * down[:m])
-    at = sliding_argmin(h, least - gram + 1)
+    at = sliding_argmin(h, short - gram + 1)
     a, b = np.maximum(at - (least - 1), 0), np.minimum(at + least, len(raw))
     around = mix(span_hashes(sums, a, b) + mix((at - a).astype(np.uint64) ^ MIX2))
     return at, h[at], around
@@ -159,24 +162,30 @@ class RangeMinimum:
         return out
 
 
-def extents(left: list[bytes], right: list[bytes], least: int = LEAST) -> tuple[np.ndarray, np.ndarray]:
-    """For each neighbourhood, how far bytes left and right of its anchor lie in strings that another one has too.
+def extents(left: list[bytes], right: list[bytes], levels: tuple[int, ...] = (LEAST,)) -> np.ndarray:
+    """For each neighbourhood and each length of ``levels``, how far bytes left and right of its anchor lie in strings of
+    that length that another neighbourhood has too: columns lo, hi for each level.
 
     ``left`` is reversed. Strings of ``least`` bytes around two anchors are equal where l + r >= least of their common
     lengths; all of them hold the anchor, so the farthest ends bound what they cover.
     """
     g = len(left)
+    out = np.zeros((g, 2 * len(levels)), np.int32)
     if g == 1:
-        return np.zeros(1, np.int32), np.zeros(1, np.int32)
+        return out
     if g == 2:
         l, r = common_prefix(left[0], left[1]), common_prefix(right[0], right[1])
-        hit = l + r >= least
-        return np.array([l * hit] * 2), np.array([r * hit] * 2)
+        for k, least in enumerate(levels):
+            if l + r >= least:
+                out[:, 2 * k : 2 * k + 2] = l, r
+        return out
     if g <= SMALL_GROUP:
         l, r = pairwise_common(left), pairwise_common(right)
-        hit = l + r >= least
-        np.fill_diagonal(hit, False)
-        return np.where(hit, l, 0).max(axis=1), np.where(hit, r, 0).max(axis=1)
+        for k, least in enumerate(levels):
+            hit = l + r >= least
+            np.fill_diagonal(hit, False)
+            out[:, 2 * k], out[:, 2 * k + 1] = np.where(hit, l, 0).max(axis=1), np.where(hit, r, 0).max(axis=1)
+        return out
     # Suffixes with at least r bytes in common are runs of the sorted order. Within a run, the longest common length to
     # the left is that of neighbours in the left order. Each length r that occurs is tried once.
     order, by_left = multikey_quicksort(right), multikey_quicksort(left)
@@ -184,7 +193,7 @@ def extents(left: list[bytes], right: list[bytes], least: int = LEAST) -> tuple[
     rank = np.empty(g, np.int64)
     rank[by_left] = np.arange(g)
     rank = rank[order]
-    lo, hi = np.zeros(g, np.int32), np.zeros(g, np.int32)
+    far = np.zeros((g, 2 * len(levels)), np.int32)
     for r in np.unique(r_next):
         run = np.r_[0, np.cumsum(r_next < r)]
         at = np.lexsort((rank, run))
@@ -193,13 +202,13 @@ def extents(left: list[bytes], right: list[bytes], least: int = LEAST) -> tuple[
         if not len(one):
             continue
         l = l_least(rank[one], rank[two])
-        hit = l + r >= least
-        for x in (one[hit], two[hit]):
-            np.maximum.at(lo, x, l[hit])
-            hi[x] = np.maximum(hi[x], r)
-    out_lo, out_hi = np.zeros(g, np.int32), np.zeros(g, np.int32)
-    out_lo[order], out_hi[order] = lo, hi
-    return out_lo, out_hi
+        for k, least in enumerate(levels):
+            hit = l + r >= least
+            for x in (one[hit], two[hit]):
+                np.maximum.at(far[:, 2 * k], x, l[hit])
+                far[x, 2 * k + 1] = np.maximum(far[x, 2 * k + 1], r)
+    out[order] = far
+    return out
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
@@ -208,8 +217,8 @@ def _keyed(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("tk"), F.xxhash64(text, F.lit(1)).alias("tk2"))
 
 
-def _anchor_rows(keyed: DataFrame, least: int, gram: int) -> DataFrame:
-    """(kh, ch, tk, tk2, doc_id, pos, cnt): anchors; cnt counts equal texts that a batch holds."""
+def _anchor_rows(keyed: DataFrame, levels: tuple[int, ...], gram: int) -> DataFrame:
+    """(kh, ch, tk, tk2, doc_id, pos, cnt, size): anchors; cnt counts equal texts that a batch holds, size is theirs."""
 
     def run(batches):
         for batch in slices(batches):
@@ -219,11 +228,12 @@ def _anchor_rows(keyed: DataFrame, least: int, gram: int) -> DataFrame:
             texts, ids = batch.column(1).cast(pa.binary()), batch.column(0).to_pylist()
             out, size = [], 0
             for key, rows in met.items():
-                at, kh, ch = anchors(texts[rows[0]].as_py(), least, gram)
+                data = texts[rows[0]].as_py()
+                at, kh, ch = anchors(data, levels, gram)
                 if not len(at):
                     continue
                 doc = min((ids[i] for i in rows if ids[i] is not None), default=None)
-                out.append((kh, ch, key, doc, at, len(rows)))
+                out.append((kh, ch, key, doc, at, len(rows), len(data)))
                 size += len(at)
                 if size > 100_000:
                     yield _anchor_batch(out)
@@ -231,7 +241,7 @@ def _anchor_rows(keyed: DataFrame, least: int, gram: int) -> DataFrame:
             if out:
                 yield _anchor_batch(out)
 
-    return keyed.select("doc_id", "text", "tk", "tk2").mapInArrow(run, "kh bigint, ch bigint, tk bigint, tk2 bigint, doc_id bigint, pos int, cnt bigint")
+    return keyed.select("doc_id", "text", "tk", "tk2").mapInArrow(run, "kh bigint, ch bigint, tk bigint, tk2 bigint, doc_id bigint, pos int, cnt bigint, size bigint")
 
 
 def _anchor_batch(out) -> pa.RecordBatch:
@@ -246,8 +256,9 @@ def _anchor_batch(out) -> pa.RecordBatch:
         doc,
         pa.array(np.concatenate([x[4] for x in out]).astype(np.int32)),
         wide([x[5] for x in out], pa.int64()),
+        wide([x[6] for x in out], pa.int64()),
     ]
-    return pa.RecordBatch.from_arrays(cols, names=["kh", "ch", "tk", "tk2", "doc_id", "pos", "cnt"])
+    return pa.RecordBatch.from_arrays(cols, names=["kh", "ch", "tk", "tk2", "doc_id", "pos", "cnt", "size"])
 
 
 def _contexts(reps: DataFrame, keyed: DataFrame, least: int) -> DataFrame:
@@ -280,10 +291,15 @@ def _context_batch(rows) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=["kh", "ch", "g", "lft", "rgt"])
 
 
-EXTENTS = "kh bigint, ch bigint, lo int, hi int"
+def _extent_columns(levels: tuple[int, ...]) -> list[str]:
+    return [f"{side}{k}" for k in range(len(levels)) for side in ("lo", "hi")]
+
 
+def _extent_schema(levels: tuple[int, ...]) -> str:
+    return "kh bigint, ch bigint, " + ", ".join(f"{c} int" for c in _extent_columns(levels))
 
-def _sorted_extents(contexts: DataFrame, least: int) -> DataFrame:
+
+def _sorted_extents(contexts: DataFrame, levels: tuple[int, ...]) -> DataFrame:
     """Extents of the neighbourhoods that share an anchor string, bucket by bucket of the suffix order.
 
     Splitters are sampled from the leading bytes; suffixes that begin alike never part, so nothing crosses a boundary.
@@ -291,82 +307,102 @@ def _sorted_extents(contexts: DataFrame, least: int) -> DataFrame:
     n = max(1, int(contexts.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     # The leading bytes of a suffix are its anchor string; kh is that string's hash and keeps strings apart in the bucket.
     parts = contexts.repartitionByRange(n, F.substring("rgt", 1, 16), F.col("kh")).sortWithinPartitions("kh")
+    names = ["kh", "ch", *_extent_columns(levels)]
 
     def run(batches):
-        out: list[list] = [[], [], [], []]
-        for (kh,), t in grouped(batches, ["kh"]):
-            lo, hi = extents(t.column("lft").to_pylist(), t.column("rgt").to_pylist(), least)
-            for col, v in zip(out, ([kh] * t.num_rows, t.column("ch").to_pylist(), lo.tolist(), hi.tolist()), strict=True):
-                col += v
-            if len(out[0]) > 20_000:
-                yield _extent_batch(out)
-                out = [[], [], [], []]
-        if out[0]:
-            yield _extent_batch(out)
-
-    return parts.mapInArrow(run, EXTENTS)
+        def rows():
+            far = np.concatenate([o[2] for o in out])
+            cols = [pa.array(np.concatenate([o[k] for o in out])) for k in (0, 1)] + [pa.array(far[:, k]) for k in range(far.shape[1])]
+            return pa.RecordBatch.from_arrays(cols, names=names)
 
+        out, size = [], 0
+        for (kh,), t in grouped(batches, ["kh"]):
+            far = extents(t.column("lft").to_pylist(), t.column("rgt").to_pylist(), levels)
+            out.append((np.full(t.num_rows, kh, np.int64), t.column("ch").to_numpy(), far))
+            size += t.num_rows
+            if size > 20_000:
+                yield rows()
+                out, size = [], 0
+        if out:
+            yield rows()
 
-def _extent_batch(out) -> pa.RecordBatch:
-    types = (pa.int64(), pa.int64(), pa.int32(), pa.int32())
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types, strict=True)], names=["kh", "ch", "lo", "hi"])
+    return parts.mapInArrow(run, _extent_schema(levels))
 
 
-def _counted_extents(contexts: DataFrame, least: int, gram: int) -> DataFrame:
-    """The same for anchor strings with very many neighbourhoods: count the hashes of all their strings of ``least`` bytes."""
+def _counted_extents(contexts: DataFrame, levels: tuple[int, ...], gram: int) -> DataFrame:
+    """The same for anchor strings with very many neighbourhoods: count the hashes of all their strings of each length."""
 
     def run(batches):
         for batch in batches:
             kh, ch = batch.column(0).to_numpy(), batch.column(1).to_numpy()
             for i, (left, right) in enumerate(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)):
                 data = np.frombuffer(left[::-1] + right, np.uint8)
-                off = np.arange(max(0, least - len(right)), min(len(left), least - gram) + 1)
-                if not len(off):
-                    continue
-                start = len(left) - off
-                h = mix(span_hashes(prefix_sums(data), start, start + least) + off.astype(np.uint64) * MIX2)
-                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(np.full(len(off), kh[i])), pa.array(np.full(len(off), ch[i])), pa.array(off.astype(np.int32))], names=["h", "kh", "ch", "off"])
-
-    rows = contexts.mapInArrow(run, "h bigint, kh bigint, ch bigint, off int")
-    twice = rows.groupBy("h").agg(F.min("ch").alias("c1"), F.max("ch").alias("c2")).filter("c1 <> c2").select("h")
-    return rows.join(twice, "h").groupBy("kh", "ch").agg(F.max("off").alias("lo"), (F.lit(least) - F.min("off")).cast("int").alias("hi"))
-
-
-def repeated_spans(docs: DataFrame, least: int = LEAST, gram: int = GRAM, most_in_memory: int = MOST_IN_MEMORY) -> DataFrame:
-    """(tk, tk2, spans): for each distinct text with any, the places [start, end) of bytes in repeated strings, merged.
+                sums = prefix_sums(data)
+                for level, least in enumerate(levels):
+                    off = np.arange(max(0, least - len(right)), min(len(left), least - gram) + 1)
+                    if not len(off):
+                        continue
+                    start = len(left) - off
+                    h = mix(span_hashes(sums, start, start + least) + off.astype(np.uint64) * MIX2)
+                    yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(np.full(len(off), kh[i])), pa.array(np.full(len(off), ch[i])), pa.array(off.astype(np.int32)), pa.array(np.full(len(off), level, np.int32))], names=["h", "kh", "ch", "off", "level"])
+
+    rows = contexts.mapInArrow(run, "h bigint, kh bigint, ch bigint, off int, level int")
+    twice = rows.groupBy("h", "level").agg(F.min("ch").alias("c1"), F.max("ch").alias("c2")).filter("c1 <> c2").select("h", "level")
+    at = lambda k, v: F.when(F.col("level") == k, v)
+    ends = [f for k, least in enumerate(levels) for f in (F.coalesce(F.max(at(k, F.col("off"))), F.lit(0)).alias(f"lo{k}"), F.coalesce(F.lit(least) - F.min(at(k, F.col("off"))), F.lit(0)).cast("int").alias(f"hi{k}"))]
+    return rows.join(twice, ["h", "level"]).groupBy("kh", "ch").agg(*ends)
+
+
+def repeated_spans(docs: DataFrame, levels: tuple[int, ...] = (LEAST,), gram: int = GRAM, most_in_memory: int = MOST_IN_MEMORY) -> DataFrame:
+    """(tk, tk2, spans): for each distinct text with any, the places (start0, end0, ...) of bytes in repeated strings of each
+    level, in order; one that is empty has end 0.
 
     tk, tk2 name a text by its content: xxhash64(text), xxhash64(text, 1).
     """
     keyed = _keyed(docs)
-    found = materialize(_anchor_rows(keyed, least, gram))
-    often = found.groupBy("kh").agg(F.sum("cnt").alias("all_cnt")).filter("all_cnt > 1").select("kh")
+    least = max(levels)
+    found = materialize(_anchor_rows(keyed, levels, gram))
+    # Counts in a table of their own, so that the join below may split a string that very many texts share.
+    often = materialize(found.groupBy("kh").agg(F.sum("cnt").alias("all_cnt")).filter("all_cnt > 1").select("kh"))
     everything, found = found, materialize(found.join(often, "kh", "left_semi"))
-    discard(everything)
-    classes = found.groupBy("kh", "ch").agg(F.sum("cnt").alias("cnt"), F.min(F.struct("tk", "tk2", "pos", "doc_id")).alias("rep"))
+    discard(everything, often)
+    classes = found.groupBy("kh", "ch").agg(F.sum("cnt").alias("cnt"), F.max("size").alias("size"), F.min(F.struct("tk", "tk2", "pos", "doc_id")).alias("rep"))
     classes = materialize(classes)
-    dup = classes.join(classes.groupBy("kh").agg(F.count("*").alias("g")), "kh")
-    reps = dup.filter("g > 1").select("kh", "ch", "g", "rep.*")
+    groups = materialize(classes.groupBy("kh").agg(F.count("*").alias("g")).filter("g > 1"))
+    reps = classes.join(groups, "kh").select("kh", "ch", "g", "rep.*")
     contexts = materialize(_contexts(reps, keyed, least))
-    spans = _sorted_extents(contexts.filter(F.col("g") <= most_in_memory).select("kh", "ch", "lft", "rgt"), least)
+    discard(groups)
+    spans = _sorted_extents(contexts.filter(F.col("g") <= most_in_memory).select("kh", "ch", "lft", "rgt"), levels)
     if not contexts.filter(F.col("g") > most_in_memory).isEmpty():
-        spans = spans.unionByName(_counted_extents(contexts.filter(F.col("g") > most_in_memory).select("kh", "ch", "lft", "rgt"), least, gram))
-    spans = materialize(spans.filter("lo + hi > 0"))
-    # A neighbourhood that occurs twice is repeated as a whole, as far as the text goes.
-    whole = classes.filter("cnt > 1").select("kh", "ch", F.lit(least - 1).alias("lo1"), F.lit(least).alias("hi1"))
-    decided = spans.join(whole, ["kh", "ch"], "full").select("kh", "ch", F.coalesce("lo1", "lo").alias("lo"), F.coalesce("hi1", "hi").alias("hi"))
+        spans = spans.unionByName(_counted_extents(contexts.filter(F.col("g") > most_in_memory).select("kh", "ch", "lft", "rgt"), levels, gram))
+    last = len(levels) - 1
+    spans = materialize(spans.filter(" OR ".join(f"hi{k} > 0" for k in range(len(levels)))))
+    discard(contexts)
+    # A neighbourhood that occurs twice is repeated as a whole, as far as the text goes, if the text holds such a string.
+    whole = classes.filter("cnt > 1").select("kh", "ch", "size")
+    both = spans.join(whole, ["kh", "ch"], "full")
+    ends = []
+    for k, n in enumerate(levels):
+        fits = F.coalesce(F.col("size") >= n, F.lit(False))
+        ends += [F.when(fits, least - 1).otherwise(F.coalesce(f"lo{k}", F.lit(0))).alias(f"lo{k}"), F.when(fits, least).otherwise(F.coalesce(f"hi{k}", F.lit(0))).alias(f"hi{k}")]
+    decided = materialize(both.select("kh", "ch", *ends).filter(f"hi{last} > 0"))
     places = found.groupBy("tk", "tk2", "pos", "kh", "ch").agg(F.count("*").alias("n")).join(decided, ["kh", "ch"])
-    pieces = places.select("tk", "tk2", F.greatest(F.col("pos") - F.col("lo"), F.lit(0)).alias("start"), (F.col("pos") + F.col("hi")).alias("end"))
+    pieces = []
+    for k in range(len(levels)):
+        there = F.col(f"hi{k}") > 0
+        pieces += [F.when(there, F.greatest(F.col("pos") - F.col(f"lo{k}"), F.lit(0))).otherwise(0).alias(f"start{k}"), F.when(there, F.col("pos") + F.col(f"hi{k}")).otherwise(0).alias(f"end{k}")]
     # All pieces of one text, in order; bounded by its length. Pieces that touch or overlap become one.
-    merged = pieces.groupBy("tk", "tk2").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("spans"))
+    merged = places.select("tk", "tk2", "pos", *pieces).groupBy("tk", "tk2").agg(F.array_sort(F.collect_list(F.struct("pos", *[f"{side}{k}" for k in range(len(levels)) for side in ("start", "end")]))).alias("spans"))
     merged = materialize(merged)
-    discard(found, classes, contexts, spans)
+    discard(found, classes, spans, decided)
     return merged
 
 
-def _merge(spans, length: int, least: int) -> list[tuple[int, int]]:
+def _merge(spans, length: int, level: int) -> list[tuple[int, int]]:
     out: list[list[int]] = []
-    for s in spans or ():
-        a, b = s["start"], min(s["end"], length)
+    for a, b in sorted((s[f"start{level}"], min(s[f"end{level}"], length)) for s in spans or ()):
+        if b <= a:
+            continue
         if out and a <= out[-1][1]:
             out[-1][1] = max(out[-1][1], b)
         else:
@@ -374,36 +410,46 @@ def _merge(spans, length: int, least: int) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out]
 
 
-def remove_repeats(docs: DataFrame, least: int = LEAST, gram: int = GRAM, most_in_memory: int = MOST_IN_MEMORY) -> DataFrame:
-    """All columns of ``docs`` with ``__kept`` (the bytes left), ``__spans`` (maximal removed runs) and, where there are any,
-    ``__left`` (the bytes left as text, without parts of characters).
+def remove_repeats(docs: DataFrame, least: int = LEAST, gram: int = GRAM, most_in_memory: int = MOST_IN_MEMORY, short: int | None = None) -> DataFrame:
+    """All columns of ``docs`` with ``__kept`` (the bytes left), ``__spans`` (maximal removed runs), where there are any
+    ``__left`` (the bytes left as text, without parts of characters), and with ``short`` also ``__shared``: the maximal runs
+    of bytes in repeated strings of that many bytes, which are reported and stay.
 
-    Bytes are those of the UTF-8 text; null counts as empty. Texts shorter than ``least`` bytes stay whole. Repeated
-    rows are repeats of each other. Null and repeated doc_ids stay, each row on its own; an empty table gives no rows.
+    Bytes are those of the UTF-8 text; null counts as empty. Texts shorter than ``least`` bytes stay whole; very long ones
+    are read as one. Repeated rows are repeats of each other. Null and repeated doc_ids stay, each row on its own; an empty
+    table gives no rows; other columns are handed on.
     """
-    merged = repeated_spans(docs, least, gram, most_in_memory)
+    levels = (least,) if short is None else (least, short)
+    if least < max(levels) or min(levels) < gram:
+        raise ValueError("short must not be over least, nor either under gram")
+    merged = repeated_spans(docs, levels, gram, most_in_memory)
     text = text_or_empty()
     rows = docs.withColumns({"__tk": F.xxhash64(text), "__tk2": F.xxhash64(text, F.lit(1)), "__text": text})
     rows = rows.join(merged.select(F.col("tk").alias("__tk"), F.col("tk2").alias("__tk2"), F.col("spans").alias("__found")), ["__tk", "__tk2"], "left").drop("__tk", "__tk2")
     names = docs.columns
+    span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
+    more = ["__shared"] if short is not None else []
 
     def run(batches):
+        listed = lambda cut: [{"start": a, "end": b} for a, b in cut]
         for batch in slices(batches):
-            kept, spans, left = [], [], []
+            kept, spans, left, shared = [], [], [], []
             for data, found in zip(batch.column(len(names)).cast(pa.binary()).to_pylist(), batch.column(len(names) + 1).to_pylist(), strict=True):
-                cut = _merge(found, len(data), least)
+                cut = _merge(found, len(data), 0)
                 at, parts = 0, []
                 for a, b in cut:
                     parts.append(data[at:a])
                     at = b
                 kept.append(b"".join([*parts, data[at:]]))
-                spans.append([{"start": a, "end": b} for a, b in cut])
+                spans.append(listed(cut))
                 left.append(kept[-1].decode("utf-8", "ignore") if cut else None)
-            span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], pa.array(kept, pa.binary()), pa.array(spans, span), pa.array(left, pa.string())], names=[*names, "__kept", "__spans", "__left"])
+                if more:
+                    shared.append(listed(_merge(found, len(data), 1)))
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], pa.array(kept, pa.binary()), pa.array(spans, span), pa.array(left, pa.string()), *([pa.array(shared, span)] if more else [])], names=[*names, "__kept", "__spans", "__left", *more])
         give_back()
 
-    schema = docs.withColumns({"__kept": F.lit(None).cast("binary"), "__spans": F.lit(None).cast("array<struct<start:bigint,end:bigint>>"), "__left": F.lit(None).cast("string")}).schema
+    runs = F.lit(None).cast("array<struct<start:bigint,end:bigint>>")
+    schema = docs.withColumns({"__kept": F.lit(None).cast("binary"), "__spans": runs, "__left": F.lit(None).cast("string")} | dict.fromkeys(more, runs)).schema
     return rows.select(*names, "__text", "__found").mapInArrow(run, schema)
 
 

@@ -119,6 +119,25 @@ def test_shorter_strings(docs, texts):
     assert digest(suffix_dedup.remove_repeats(docs, least=60, gram=20).collect()) == brute_removal(texts, 60)
 
 
+def shared(rows):
+    return sorted((str(r.doc_id), sum(s["end"] - s["start"] for s in r["__shared"]), len(r["__shared"])) for r in rows)
+
+
+def test_two_lengths_at_once(docs, texts):
+    """The finer look changes nothing of the first, and finds what a search for its own length finds."""
+    for most in (suffix_dedup.MOST_IN_MEMORY, 1):
+        rows = suffix_dedup.remove_repeats(docs, short=240, most_in_memory=most).collect()
+        assert digest(rows) == brute_removal(texts)
+        assert shared(rows) == [x[:3] for x in brute_removal(texts, 240)]
+
+
+def test_copies_between_the_lengths(spark):
+    """A text of 300 bytes that occurs twice is shared, but holds no string of 400."""
+    rows = [(1, "ab c" * 75), (2, "ab c" * 75), (3, "x" * 239), (4, "x" * 239)]
+    got = suffix_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id bigint, text string"), short=240).collect()
+    assert digest(got) == brute_removal(rows) and shared(got) == [x[:3] for x in brute_removal(rows, 240)]
+
+
 def test_cleaned_keeps_columns(docs):
     out = suffix_dedup.cleaned(docs)
     assert out.columns == docs.columns and out.count() == docs.count()
@@ -142,5 +161,5 @@ def test_large_groups_equal_pairs():
             assert l[i, j] == next((k for k, (x, y) in enumerate(zip(left[i], left[j])) if x != y), min(len(left[i]), len(left[j])))
         hit = l + r >= least
         np.fill_diagonal(hit, False)
-        lo, hi = suffix_dedup.extents(left, right, least)
+        lo, hi = suffix_dedup.extents(left, right, (least + 3, least))[:, 2:].T
         assert (lo == np.where(hit, l, 0).max(axis=1)).all() and (hi == np.where(hit, r, 0).max(axis=1)).all() and hit.any()
