@@ -3,44 +3,30 @@
 from __future__ import annotations
 
 import uuid
-from collections import Counter
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import text_or_empty, worker_state
-from .tokens import CACHE_LIMIT, LONGEST_KEPT, Cache, Encoder, default_path, worker_encoder
+from .tokens import CACHE_LIMIT, LONGEST_KEPT, Cache, Encoder, default_path
 
+def frequent_lengths(tokenizer_path: str | None = None, entries: int = 65_536) -> dict[str, int]:
+    """Token lengths of the frequent pre-tokens: those that the vocabulary itself holds, at most ``entries``.
 
-#: Pre-tokens a task counts before it forgets single ones.
-MOST_COUNTED = 400_000
-
-
-def frequent_lengths(docs: DataFrame, tokenizer_path: str | None = None, entries: int = 65_536, per_task: int = 20_000) -> dict[str, int]:
-    """Token lengths of the most frequent pre-tokens of all texts; at most ``entries``, whatever the input.
-
-    Each task counts its pre-tokens in a table that forgets single ones when full and sends its ``per_task`` most
-    frequent. The table only saves work: a pre-token it lacks is encoded by the worker, with the same result.
+    A byte-pair vocabulary is the list of strings that were frequent, so no pass over the texts is needed and the table has
+    the vocabulary's size, whatever the input. Each length is what the library gives. The table only saves work: a
+    pre-token it lacks is encoded by the worker, with the same result.
     """
-    path = tokenizer_path or default_path()
-
-    def count(batches):
-        encoder, seen = worker_encoder(path), Counter()
-        for batch in batches:
-            for text in batch.column(0).to_pylist():
-                for part, special in encoder.pieces(text):
-                    if part is not None:
-                        seen.update(encoder.split(part))
-                if len(seen) > MOST_COUNTED:
-                    seen = Counter({k: v for k, v in seen.items() if v > 1} if len(seen) < 4 * MOST_COUNTED else dict(seen.most_common(per_task)))
-        top = [(k, v) for k, v in seen.most_common(per_task) if len(k) <= LONGEST_KEPT]
-        yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in top], pa.string()), pa.array([v for _, v in top], pa.int64())], names=["piece", "n"])
-
-    counts = docs.select(text_or_empty().alias("text")).mapInArrow(count, "piece string, n bigint")
-    top = counts.groupBy("piece").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "piece").limit(entries).select("piece").collect()
-    encoder = worker_encoder(path)
-    return {r.piece: len(encoder.cache[r.piece]) // 4 for r in top}
+    encoder = Encoder(tokenizer_path or default_path())
+    out: dict[str, int] = {}
+    for i in range(encoder.tokenizer.get_vocab_size()):
+        if len(out) >= entries:
+            break
+        piece = encoder.tokenizer.decode([i], skip_special_tokens=False)
+        if piece and len(piece) <= LONGEST_KEPT and encoder.split(piece) == [piece] and piece not in encoder.special:
+            out[piece] = len(encoder.tokenizer.encode(piece, add_special_tokens=False).ids)
+    return out
 
 
 class _Lengths(Cache):
@@ -50,13 +36,14 @@ class _Lengths(Cache):
 
 
 def token_counts(docs: DataFrame, tokenizer_path: str | None = None, limit: int = 512, entries: int = 65_536) -> DataFrame:
-    """doc_id, n_bytes, n_tokens, over_limit (n_tokens > limit) of each row; one map pass after the table's pass.
+    """doc_id, n_bytes, n_tokens, over_limit (n_tokens > limit) of each row; one map pass, no shuffle.
 
     Null texts count as empty: no bytes, no tokens. Null and repeated doc_ids stay, each row on its own; other columns
-    are not read; an empty table gives no rows. Special strings in a text count as one token each.
+    are not read; an empty table gives no rows. Special strings in a text count as one token each. A very long text is
+    counted as a whole.
     """
     path = tokenizer_path or default_path()
-    frequent = docs.sparkSession.sparkContext.broadcast(frequent_lengths(docs, path, entries))
+    frequent = docs.sparkSession.sparkContext.broadcast(frequent_lengths(path, entries))
     key = uuid.uuid4().hex
 
     def _tiers():

@@ -105,3 +105,19 @@ def test_crc_is_of_little_endian_ids(spark, docs, plain, texts):
 
     row = pow2_packing.pack(docs).filter("doc_id = 10 and start = 0").select("ids", F.crc32("ids").alias("c")).first()
     assert row.c == zlib.crc32(row.ids)
+
+
+def test_buckets_hold_one_length_each(spark, docs, tmp_path):
+    """Written by length and read back: every piece is there, and a folder's sequences have one shape."""
+    packed = pow2_packing.pack(docs)
+    pow2_packing.write_buckets(packed, str(tmp_path / "packed"))
+    back = spark.read.parquet(str(tmp_path / "packed"))
+    assert all(r.length == 1 << r.bucket == len(r.ids) // 4 for r in back.collect())
+    key = lambda r: (str(r.doc_id), r.start, r.length, bytes(r.ids))
+    assert sorted(map(key, back.collect())) == sorted(map(key, packed.collect()))
+
+
+def test_frequent_pieces_come_from_the_vocabulary():
+    table = token_counts.frequent_lengths(entries=2000)
+    library = tokens.Encoder().tokenizer
+    assert 500 < len(table) <= 2000 and all(len(library.encode(p, add_special_tokens=False).ids) == n for p, n in table.items())
