@@ -31,7 +31,7 @@ def op4_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_pow2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = pow2_packing.pack(_read(spark, sf_dir, "documents"))
-    return rows.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+    return rows.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "bucket")
 
 
 def op6_png_media(spark: SparkSession, sf_dir: str) -> DataFrame:
