@@ -25,6 +25,10 @@ BLOCK_RATIO = 1.0
 TIE = 1e-6
 
 
+#: Links that name a host: after a scheme, or at once.
+ABSOLUTE = r"^([A-Za-z][A-Za-z0-9+.-]*:)?//"
+
+
 def host_of(url):
     """After the first ``://`` up to ``/``, ``?``, ``#`` or the end, A-Z lower-cased; empty without ``://``."""
     return F.translate(F.coalesce(F.regexp_extract(url, r"(?s)^.*?://([^/?#]*)", 1), F.lit("")), UPPER, LOWER)
@@ -44,9 +48,10 @@ def best_rule(host, path, rules=RULES):
 
 
 def host_edges(pages: DataFrame) -> DataFrame:
-    """Links between different hosts with their numbers; relative links stay on their host and give no edge."""
+    """Links between different hosts with their numbers; relative links stay on their host and give no edge, whatever other
+    address they name in a query. Pages without html give none."""
     links = F.array_distinct(F.regexp_extract_all(F.coalesce("html", F.lit("")), F.lit(LINK), 1))
-    far = F.filter(links, lambda x: x.contains("//"))
+    far = F.filter(links, lambda x: x.rlike(ABSOLUTE))
     far = F.transform(far, lambda x: F.when(x.startswith("//"), F.concat(F.lit("http:"), x)).otherwise(x))
     out = pages.select(host_of(F.col("url")).alias("src"), F.explode(far).alias("link")).select("src", host_of(F.col("link")).alias("dst"))
     return out.filter("src <> '' and dst <> '' and src <> dst").groupBy("src", "dst").agg(F.count("*").alias("n"))
