@@ -97,8 +97,8 @@ def _covers(rule: Rule, row: dict) -> bool:
     return all(c.holds(row) for c in rule)
 
 
-def _grow(rows: list[dict], most: int) -> Rule:
-    """Add the condition of most information gain until only bad rows are covered."""
+def _grow(rows: list[dict], most: int, not_first: frozenset = frozenset()) -> Rule:
+    """Add the condition of most information gain until only bad rows are covered; ``not_first`` names what must not begin it."""
     rule: Rule = ()
     while len(rule) < most:
         p, n = sum(r["bad"] for r in rows), sum(not r["bad"] for r in rows)
@@ -107,6 +107,8 @@ def _grow(rows: list[dict], most: int) -> Rule:
         before, best = math.log2(p / (p + n)), (0.0, None)
         for f in FEATURES:
             for above in (True, False):
+                if not rule and (f, above) in not_first:
+                    continue
                 ordered = sorted(rows, key=lambda r: -r[f] if above else r[f])
                 cp = cn = 0
                 for k, r in enumerate(ordered):
@@ -141,19 +143,28 @@ def _prune(rule: Rule, rows: list[dict]) -> Rule:
 def cover(rows: list[dict], precision: float = 0.98, least: int = 5, most_rules: int = 12, most_conditions: int = 4) -> list[Rule]:
     """Rules for bad rows in order: grow on two thirds, prune on the rest, remove what is covered, go on.
 
-    A rule must reach ``precision`` and cover ``least`` bad rows of all rows left; else the list ends.
+    A rule must reach ``precision`` and cover ``least`` bad rows of all rows left. One that doesn't, pruned or whole, is
+    given up, and others are grown that begin with another condition; the list ends when none is left to try.
     """
     rules: list[Rule] = []
     while len(rules) < most_rules:
         if sum(r["bad"] for r in rows) < least:
             break
         grow, prune = [r for i, r in enumerate(rows) if i % 3], rows[::3]
-        rule = _prune(_grow(grow, most_conditions), prune)
-        hit = [r["bad"] for r in rows if _covers(rule, r)]
-        if not rule or sum(hit) < least or sum(hit) < precision * len(hit):
-            break
-        rules.append(rule)
-        rows = [r for r in rows if not _covers(rule, r)]
+        tried: frozenset = frozenset()
+        found: Rule = ()
+        while not found:
+            whole = _grow(grow, most_conditions, tried)
+            if not whole:
+                return rules
+            for rule in (_prune(whole, prune), whole):
+                hit = [r["bad"] for r in rows if _covers(rule, r)]
+                if sum(hit) >= least and sum(hit) >= precision * len(hit):
+                    found = rule
+                    break
+            tried |= {(whole[0].feature, whole[0].above)}
+        rules.append(found)
+        rows = [r for r in rows if not _covers(found, r)]
     return rules
 
 
@@ -163,9 +174,10 @@ def learn(docs: DataFrame, labels: DataFrame, most_labelled: int = MOST_LABELLED
     chosen = chosen.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most_labelled).withColumnRenamed("doc_id", "__doc_id")
     slim = docs.select(F.col("doc_id"), F.col("text"))
     rows = statistics(slim.join(F.broadcast(chosen), slim["doc_id"] == chosen["__doc_id"]))  # most_labelled rows of two numbers
-    found = rows.select("doc_id", (F.col("__quality") == 0).alias("bad"), *(F.col("__s_" + f).cast("double").alias(f) for f in FEATURES)).collect()
-    # Repeated rows of one id could pass the bound; the order of the hash settles which stay.
-    rows = sorted((r.asDict() for r in found), key=lambda r: (r["doc_id"] * 2654435761 % 4294967296, r["doc_id"], r["n_words"]))[: 2 * most_labelled]
+    # One row an id, the least: repeated ids can't pass the bound.
+    values = F.struct((F.col("__quality") == 0).alias("bad"), *(F.col("__s_" + f).cast("double").alias(f) for f in FEATURES))
+    found = rows.groupBy("doc_id").agg(F.min(values).alias("x")).select("doc_id", "x.*").collect()
+    rows = sorted((r.asDict() for r in found), key=lambda r: (r["doc_id"] * 2654435761 % 4294967296, r["doc_id"]))
     return cover(rows, **options)
 
 
