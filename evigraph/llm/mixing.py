@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_or_empty, word_array
+from .common import discard, materialize, text_or_empty, word_array
 
 #: Fixed targets of the query: language shares; a source's share is its tokens to this power; topics share evenly in this proportion.
 LANGUAGES = {"en": 0.55, "de": 0.15, "fr": 0.15, "es": 0.15}
@@ -70,23 +70,57 @@ def probabilities(tokens: list[float], weight: list[float], rate: float = RATE)
     return [round(min(1.0, high * f), 9) for f in factor]
 
 
-#: Most cells (distinct source, lang, topic) the driver fits; their number is that of groups, not of documents.
+#: Most cells (distinct source, lang, topic) the driver fits; more are fitted as tables. Their number is that of groups.
 MOST_CELLS = 1_000_000
+#: Scales tried at once when cells are tables, and rounds of them: 64 ** 9 steps are finer than a double's.
+POINTS, ROUNDS = 64, 9
+CELLS = "source string, lang string, topic string, cell_tokens double, cell_weight double, probability double"
 
 
-def cell_probabilities(rows: DataFrame, rate: float = RATE, sweeps: int = SWEEPS) -> DataFrame:
-    """Inclusion probability of each cell. Only one row a cell reaches the driver, and only up to MOST_CELLS of them."""
-    spark = rows.sparkSession
-    cell = cells(rows).cache()
-    found = sorted((tuple(r) for r in cell.limit(MOST_CELLS + 1).collect()), key=lambda c: tuple((x is None, x or "") for x in c[:3]))
-    if len(found) > MOST_CELLS:
-        raise ValueError(f"more than {MOST_CELLS} cells: merge small sources first")
-    found = [c for c in found if c[3] > 0]
+def _fitted(spark, cell: DataFrame, rate: float, sweeps: int) -> DataFrame:
+    found = sorted((tuple(r) for r in cell.filter("tokens > 0").collect()), key=lambda c: tuple((x is None, x or "") for x in c[:3]))  # MOST_CELLS rows at most
     goal = {dim: {r[0]: r[1] for r in t.collect()} for dim, t in targets(cell)} if found else {}
-    cell.unpersist()
     weight = rake(found, goal, sweeps) if found else []
     p = probabilities([c[3] for c in found], weight, rate) if found else []
-    return spark.createDataFrame([(*c[:3], c[3], w, q) for c, w, q in zip(found, weight, p, strict=True)], "source string, lang string, topic string, cell_tokens double, cell_weight double, probability double")
+    return spark.createDataFrame([(*c[:3], c[3], w, q) for c, w, q in zip(found, weight, p, strict=True)], CELLS)
+
+
+def _fitted_tables(cell: DataFrame, rate: float, sweeps: int) -> DataFrame:
+    """The same by joins, one written table a sweep; the scale comes from rounds of sums at many scales at once."""
+    goal = [(dim, t.withColumnRenamed(dim, "__v")) for dim, t in targets(cell)]
+    all_tokens = cell.agg(F.sum("tokens")).first()[0]
+    now = materialize(cell.filter("tokens > 0").withColumn("w", F.col("tokens")))
+    for _ in range(sweeps):
+        step = now
+        for dim, t in goal:
+            own = step.groupBy(F.col(dim).alias("__v")).agg(F.sum("w").alias("__own"))
+            factor = own.join(t, own["__v"].eqNullSafe(t["__v"])).select(own["__v"], F.when(F.col("__own") > 0, F.col("target") * F.lit(all_tokens) / F.col("__own")).otherwise(0.0).alias("__f"))
+            step = step.join(factor, F.col(dim).eqNullSafe(F.col("__v"))).withColumn("w", F.col("w") * F.col("__f")).drop("__v", "__f")
+        last, now = now, materialize(step)
+        discard(last)
+    f = F.col("w") / F.col("tokens")
+    goal_tokens, low, high = rate * all_tokens, 0.0, 1.0
+    kept = lambda scales: now.agg(*[F.sum(F.col("tokens") * F.least(F.lit(1.0), F.lit(s) * f)).alias(f"k{i}") for i, s in enumerate(scales)]).first()
+    powers = [2.0**k for k in range(41)]
+    reached = [s for s, k in zip(powers, kept(powers), strict=True) if k >= goal_tokens * (1 - 1e-12)]
+    high = reached[0] if reached else powers[-1]
+    for _ in range(ROUNDS):
+        scales = [low + (high - low) * k / POINTS for k in range(1, POINTS)]
+        less = [s for s, k in zip(scales, kept(scales), strict=True) if k < goal_tokens]
+        at = len(less)
+        low, high = (less[-1] if less else low), (scales[at] if at < len(scales) else high)
+    return now.select("source", "lang", "topic", F.col("tokens").alias("cell_tokens"), F.col("w").alias("cell_weight"), F.round(F.least(F.lit(1.0), F.lit(high) * f), 9).alias("probability"))
+
+
+def cell_probabilities(rows: DataFrame, rate: float = RATE, sweeps: int = SWEEPS, most_cells: int = MOST_CELLS) -> tuple[DataFrame, bool]:
+    """Inclusion probability of each cell, and whether the cells are few: up to ``most_cells`` rows reach the driver and come
+    back as a table that may be broadcast, more are raked as tables."""
+    cell = materialize(cells(rows))
+    few = cell.limit(most_cells + 1).count() <= most_cells
+    out = _fitted(rows.sparkSession, cell, rate, sweeps) if few else _fitted_tables(cell, rate, sweeps)
+    if few:
+        discard(cell)
+    return out, few
 
 
 def draw(doc_id, seed: str = SEED):
@@ -94,18 +128,19 @@ def draw(doc_id, seed: str = SEED):
     return F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(seed), F.coalesce(doc_id.cast("string"), F.lit("")))), 1, 8), 16, 10).cast("double") / F.lit(4294967296.0)
 
 
-def mixed(docs: DataFrame, rate: float = RATE, sweeps: int = SWEEPS, seed: str = SEED) -> DataFrame:
+def mixed(docs: DataFrame, rate: float = RATE, sweeps: int = SWEEPS, seed: str = SEED, most_cells: int = MOST_CELLS) -> DataFrame:
     """All rows with ``__probability``, ``__tokens``, ``__topic`` and the decision ``__sampled``.
 
     Token weight: words of the text. A null source or language is a value of its own; rows without tokens have
-    probability 1 (they carry no weight, so dropping them cannot help the mix). Repeated rows draw alike.
+    probability 1 (they carry no weight, so dropping them cannot help the mix). Repeated rows draw alike. Very long texts count
+    whole; an empty table gives no rows.
     """
     text = text_or_empty()
     rows = docs.withColumns({"__tokens": F.size(word_array(text)).cast("bigint"), "__topic": topic(text)})
     slim = rows.select(F.col("source").cast("string"), F.col("lang").cast("string"), F.col("__topic").alias("topic"), F.col("__tokens").alias("tokens"))
-    p = cell_probabilities(slim, rate, sweeps).select(F.col("source").alias("__s"), F.col("lang").alias("__l"), F.col("topic").alias("__t"), F.col("probability").alias("__p"))
-    # One row a cell, at most MOST_CELLS: the table's size is checked where it is made.
-    out = rows.join(F.broadcast(p), rows["source"].eqNullSafe(p["__s"]) & rows["lang"].eqNullSafe(p["__l"]) & rows["__topic"].eqNullSafe(p["__t"]), "left").drop("__s", "__l", "__t")
+    p, few = cell_probabilities(slim, rate, sweeps, most_cells)
+    p = p.select(F.col("source").alias("__s"), F.col("lang").alias("__l"), F.col("topic").alias("__t"), F.col("probability").alias("__p"))
+    out = rows.join(F.broadcast(p) if few else p, rows["source"].eqNullSafe(p["__s"]) & rows["lang"].eqNullSafe(p["__l"]) & rows["__topic"].eqNullSafe(p["__t"]), "left").drop("__s", "__l", "__t")
     out = out.withColumn("__probability", F.when(F.col("__tokens") > 0, F.coalesce("__p", F.lit(1.0))).otherwise(1.0)).drop("__p")
     return out.withColumn("__sampled", draw(F.col("doc_id"), seed) < F.col("__probability"))
 

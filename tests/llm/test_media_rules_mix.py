@@ -164,6 +164,33 @@ def test_scores(docs, texts, empty):
     assert lm_scoring.score(empty).count() == 0
 
 
+def test_many_cells_are_fitted_as_tables(docs, empty):
+    """The form for more cells than the driver takes gives the same probabilities."""
+    few = {(r.doc_id, r.text): (round(r["__probability"], 6), r["__sampled"]) for r in mixing.mixed(docs).collect()}
+    many = {(r.doc_id, r.text): (round(r["__probability"], 6), r["__sampled"]) for r in mixing.mixed(docs, most_cells=0).collect()}
+    assert many == few and mixing.mixed(empty, most_cells=0).count() == 0
+
+
+def test_a_poor_first_rule_does_not_end_the_list():
+    """The best first condition never gets precise; another one does."""
+    rng = np.random.default_rng(3)
+    rows = []
+    for k in range(400):
+        bad = k % 4 == 0
+        row = dict.fromkeys(decision_lists.FEATURES, 0.0) | {"bad": bad, "doc_id": k}
+        row[decision_lists.FEATURES[0]] = float(rng.random() + (0.5 if bad else 0.0))
+        row[decision_lists.FEATURES[1]] = 5.0 if bad and k % 16 == 0 else float(rng.random())
+        rows.append(row)
+    rules = decision_lists.cover(rows, most_conditions=1)
+    hit = [r["bad"] for r in rows if any(decision_lists._covers(rule, r) for rule in rules)]
+    assert rules and sum(hit) >= 0.98 * len(hit) and sum(hit) >= 20
+
+
+def test_only_absolute_links_name_a_host(spark):
+    pages = spark.createDataFrame([(1, "http://a.org/x", '<a href="/go?u=http://x.net/fr/1">1</a><a href="//b.org/">2</a><a href="https://c.org/?u=//d.org">3</a><a href="y//z">4</a>'), (2, "http://a.org/y", None)], "page_id bigint, url string, html string")
+    assert {(r.src, r.dst) for r in url_filters.host_edges(pages).collect()} == {("a.org", "b.org"), ("a.org", "c.org")}
+
+
 def test_probabilities_sum_to_one():
     """Over all next bytes after a text: the model is a distribution whatever its tables hold."""
     c = lm_scoring.Counts()
