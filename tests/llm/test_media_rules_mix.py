@@ -192,33 +192,30 @@ def test_only_absolute_links_name_a_host(spark):
 
 
 def test_probabilities_sum_to_one():
-    """Over all next bytes after a text: the model is a distribution whatever its tables hold."""
+    """Over all next bytes after a text: the model is a distribution whatever its cells hold."""
     c = lm_scoring.Counts()
     c.add([b"the cat sat on the mat " * 20, b"a dog"])
-    s = lm_scoring.Scorer(lm_scoring.tables_of(c.tables))
+    model = c.cells()
+    s = lambda texts: lm_scoring.scores_by(model, texts)
     before = b"the cat s"
     # Of the sum's terms one is the end byte's: the text without another byte.
-    stem = [s([before + bytes([b])])[0] - _end(s, before + bytes([b])) for b in range(1, 256)] + [s([before])[0]]
-    prefix = s([before])[0] - _end(s, before)
+    stem = [s([before + bytes([b])])[0] - _end(model, before + bytes([b])) for b in range(1, 256)] + [s([before])[0]]
+    prefix = s([before])[0] - _end(model, before)
     assert sum(10 ** (x - prefix) for x in stem) == pytest.approx(1, abs=2e-3)
 
 
-def _end(s, text):
+def _end(model, text):
     """log10 probability of the end byte after a text, with the weights of the first block."""
     data, starts, _ = lm_scoring.laid([text])
-    ctx = lm_scoring.contexts(data, starts)
-    w = np.array(lm_scoring.START_WEIGHTS, np.float32) / np.float32(lm_scoring.SCALE)
-    total = 0.0
-    for j in range(8):
-        rows = [c[j // 4][-1] for c in ctx]
-        z = sum(float(k * t[r + (16 >> (4 - j % 4))]) for k, t, r in zip(w, s.tables, rows, strict=True))
-        total -= math.log10(1 + math.exp(z))
-    return total
+    z = np.zeros(8)
+    for w, counts, cell, smooth in zip(lm_scoring.START_WEIGHTS, model, lm_scoring.cells_of(data, starts), lm_scoring.SMOOTH, strict=True):
+        z += w / lm_scoring.SCALE * lm_scoring.odds_toward(*counts, cell[-1:], smooth)[0].astype(float)
+    return -float(np.log10(1 + np.exp(-z)).sum())
 
 
 def test_model_prefers_what_it_learned():
     c = lm_scoring.Counts()
     c.add([b"many words of one kind " * 50])
-    s = lm_scoring.Scorer(lm_scoring.tables_of(c.tables))
+    s = lambda texts: lm_scoring.scores_by(c.cells(), texts)
     a, b = s([b"words of one kind many", b"zq xjvw qkzzp vvvq wxy"])
     assert a > b and hashlib.sha256(np.array([a, b]).tobytes()).digest() == hashlib.sha256(s([b"words of one kind many", b"zq xjvw qkzzp vvvq wxy"]).tobytes()).digest()
