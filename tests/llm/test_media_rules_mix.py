@@ -208,7 +208,7 @@ def _end(model, text):
     """log10 probability of the end byte after a text, with the weights of the first block."""
     data, starts, _ = lm_scoring.laid([text])
     z = np.zeros(8)
-    for w, counts, cell, smooth in zip(lm_scoring.START_WEIGHTS, model, lm_scoring.cells_of(data, starts), lm_scoring.SMOOTH, strict=True):
+    for w, counts, cell, smooth in zip(lm_scoring.START_WEIGHTS, model, lm_scoring.cells_of(data, starts, lm_scoring.prefix_sums(data)), lm_scoring.SMOOTH, strict=True):
         z += w / lm_scoring.SCALE * lm_scoring.odds_toward(*counts, cell[-1:], smooth)[0].astype(float)
     return -float(np.log10(1 + np.exp(-z)).sum())
 
