@@ -15,11 +15,23 @@ from evigraph.shared import shared_dir
 SPACE_CLASS = r"\x20\x09-\x0D"
 
 
+#: The setting that removes a query's shuffle files when it ends (fixed value of Spark).
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def materialize(df: DataFrame) -> DataFrame:
-    """Write a frame to the shared folder and read it back: cuts the lineage and survives lost executors."""
+    """Write a frame to the shared folder and read it back: cuts the lineage and survives lost executors.
+
+    The shuffle files of the written query go with its end: what follows reads the table.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tables/{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
     out = spark.read.schema(df.schema).parquet(path)
     out.table_path = path
     return out
