@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from evigraph import plans, project, registry
 from evigraph.functions import encode
 from evigraph.functions.embed import running_hash_vector
-from evigraph.operators import blocks, ranges, retrieve, store, world
+from evigraph.operators import blocks, cells, ranges, retrieve, store, world
 from evigraph.streaming import state
 
 SF = "/root/testdata/sf0.001"
@@ -165,3 +165,34 @@ def test_hashed_texts_find_what_a_loop_finds(spark):
     for i, text in con.execute("SELECT item_id, text FROM benchmark WHERE item_id % 20 = 0").fetchall():
         s = unit @ np.array(running_hash_vector(text, 64))
         assert [n for _, n in sorted(got[i])] == [nodes[k][0] for k in np.lexsort((np.arange(len(s)), -np.round(s, 9)))[:5]]
+
+
+@needs_tables
+def test_approximate_neighbours_write_no_pairs(spark):
+    """What is shuffled is a few times the table, not a row for each query and node."""
+    written = lambda: spark._jsc.sc().statusStore().executorList(True).apply(0).totalShuffleWrite()
+    sf = "/root/testdata/sf0.01"
+    before = written()
+    assert registry.QUERIES["vector_topk_lsh"](spark, sf).count() == 250
+    assert written() - before < 4 * os.path.getsize(f"{sf}/embeddings.parquet")
+
+
+def test_cells_of_odd_rows(spark, monkeypatch):
+    """Copies beyond k, cells in several blocks, zero vectors, nulls, no numbers and other lengths: all cells looked into, the
+    best are those of a plain loop."""
+    for name, n in (("NODE_BLOCK", 40), ("SMALL_BLOCK", 7), ("QUERY_BLOCK", 9)):
+        monkeypatch.setattr(cells, name, n)
+    monkeypatch.setattr(cells, "fitted", lambda x, k: 2 * cells.DIRECTIONS)
+    rng = np.random.default_rng(3)
+    vec = [[float(x) for x in rng.integers(-3, 4, 5)] for _ in range(60)] + [[1.0, 2.0, 0.0, -1.0, 1.0]] * 60
+    vec[3], vec[4], vec[5], vec[6], vec[8] = [0.0] * 5, None, [1.0, float("nan"), 1.0, 1.0, 1.0], [1.0, None, 1.0, 1.0, 1.0], [1.0, 2.0]
+    rows = spark.createDataFrame(list(enumerate(vec)), "id bigint, vec array<double>").repartition(3)
+    found = {}
+    for r in cells.near(rows, rows.filter("id % 2 = 0").withColumnRenamed("id", "query_id"), 4, -0.5).collect():
+        found.setdefault(r.query_id, []).append((r["rank"], r.node_id))
+    fit = [i for i, v in enumerate(vec) if v and len(v) and all(x is not None and x == x for x in v) and any(v)]
+    cos = lambda a, b: sum(x * y for x, y in zip(a, b)) / (sum(x * x for x in a) ** 0.5 * sum(x * x for x in b) ** 0.5)
+    for q in range(0, 120, 2):
+        near = [(-round(cos(vec[i], vec[q]), 12), i) for i in fit if len(vec[i]) == len(vec[q])] if q in fit else []
+        assert [i for _, i in sorted(found.get(q, []))] == [i for s, i in sorted(near)[:4] if s <= 0.5]
+    assert cells.near(rows.limit(0), rows.withColumnRenamed("id", "query_id"), 4, -0.5).count() == 0
