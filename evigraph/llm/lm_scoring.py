@@ -6,6 +6,9 @@ text, by gradient steps after each block. Counts come from all training texts. T
 for each context and next byte seen, contexts named by 32 bits of their hash, so the model grows with the corpus. Each chunk
 of texts asks for the cells of its own bytes and gets eight log-odds for each, so an answer's size depends on the chunk
 alone, and no task holds the whole model.
+
+With ``adapt`` the predictors are online: what they learned in training moves by the text's own bits as they come, and the
+mixed log-odds get a correction by bit place and range that the text's earlier blocks taught.
 """
 
 from __future__ import annotations
@@ -37,6 +40,10 @@ SCALE = 12.0  # log-odds are kept as signed bytes of this resolution
 START_WEIGHTS = (0.3, 0.4, 0.3)
 RATE = 0.8
 FIRST_BLOCK = 192
+#: How many observations a trained predictor's state counts for against the text's own bits, for each predictor.
+HISTORY = (12.0, 4.0, 4.0)
+#: Ranges of the mixed log-odds, one wide each, with a correction of their own; the doubt that holds a correction back.
+RANGES, DOUBT = 21, 6.0
 #: Words whose counts are broadcast; the others' are joined.
 FREQUENT = 1 << 18
 END = b"\x00"
@@ -229,11 +236,145 @@ class Chunk:
         """Sorted distinct cells, for each predictor."""
         return [_unique([places[m][0] for _, _, places in self.pieces]) for m in range(PREDICTORS)]
 
-    def scores(self, needs: list[np.ndarray], odds: list[np.ndarray]):
+    def scores(self, needs: list[np.ndarray], odds: list[np.ndarray], adapt: bool = False):
         """The scores of each piece's texts."""
         odds = [np.ascontiguousarray(o).view(np.uint64).ravel() for o in odds]
+        states = [_states(m) for m in range(PREDICTORS)] if adapt else None
         for data, at, places in self.pieces:
-            yield _scores(data, at, [o[np.searchsorted(need, cell)][place] for need, o, (cell, place) in zip(needs, odds, places, strict=True)])
+            mine = [o[np.searchsorted(need, cell)][place] for need, o, (cell, place) in zip(needs, odds, places, strict=True)]
+            if adapt:
+                text = np.repeat(np.arange(len(at) - 1, dtype=np.int32), np.diff(at))
+                for m, (o, (cell, place)) in enumerate(zip(mine, places, strict=True)):
+                    _adapt(o, data, text, (cell >> np.uint64(8))[place], m, states[m])
+            yield _scores(data, at, mine, adapt)
+
+
+#: The probability that a signed byte of log-odds stands for; no log-odds are -128, which stands for an unseen context.
+CHANCE = 1 / (1 + np.exp(-np.r_[0:128, 0, -127:0] / SCALE))
+NOT_SEEN = np.uint64(0x8080808080808080)
+#: The leading bits that a byte has in common with another, by the exclusive or of both.
+COMMON = np.array([8 - x.bit_length() for x in range(256)])
+#: Bytes that are looked at together, so that they stay in cache.
+PART = 60_000
+FIRST_BYTE = np.uint64(1) << np.arange(0, 64, 8, dtype=np.uint64)
+#: A one in each of the bytes from a place to before another.
+ONES = np.array([[sum(1 << 8 * k for k in range(lo, hi)) for hi in range(9)] for lo in range(10)], np.uint64)
+
+
+def _states(m: int) -> tuple[np.ndarray, np.ndarray]:
+    """Logarithms of predictor m's state for and against a bit, by the number of the text's own bits and trained log-odds."""
+    strength = np.full(256, HISTORY[m])
+    strength[128] = 2 * SMOOTH[m]
+    own = np.arange(256)[:, None]
+    return tuple((np.log(strength * p + own) * SCALE).astype(np.float32).ravel() for p in (CHANCE, 1 - CHANCE))
+
+
+def _adapt(odds: np.ndarray, data: np.ndarray, text: np.ndarray, context: np.ndarray, m: int, states) -> None:
+    """Move predictor m's log-odds (eight signed bytes in one number a byte) by the text's own bits, bit after bit.
+
+    Its state at a bit is what it learned in training, taken for HISTORY observations (two of SMOOTH where the context was
+    not seen), and all bits that the text had before at the same node: after the same context and leading bits.
+    """
+    n = len(data)
+    if n >> 24:
+        order = np.argsort(context, kind="stable")
+    else:
+        order = (np.sort(context << np.uint64(24) | np.arange(n, dtype=np.uint64)) & np.uint64((1 << 24) - 1)).astype(np.int64)
+    c, t = context[order], text[order]
+    first = np.flatnonzero(np.r_[True, (c[1:] != c[:-1]) | (t[1:] != t[:-1])][:n])
+    size = np.diff(first, append=n)
+    odds[odds == 0] = NOT_SEEN
+    large = size > 256
+    if large.any():
+        _move_large(odds.view(np.int8), data, order[np.repeat(large, size)], size[large], m)
+    small = (size > 1) & ~large
+    toward, against = _own_bits(data, order[np.repeat(small, size)], size[small])
+    there = np.flatnonzero(toward | against)
+    pro, contra = states
+    for at in range(0, len(there), 16_000):
+        rows = there[at : at + 16_000]
+        wide = lambda x: x[rows].view(np.uint8).astype(np.int64)
+        old = wide(odds)
+        value = pro[wide(toward) << 8 | old] - contra[wide(against) << 8 | old]
+        odds[rows] = np.clip(np.rint(value, out=value), -127, 127, out=value).astype(np.int8).view(np.uint64)
+    odds[odds == NOT_SEEN] = 0
+
+
+def _own_bits(data: np.ndarray, order: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """How many earlier bits at the same node were as a byte's bit and how many were not, eight bytes in one number each.
+
+    ``order`` holds the bytes of each context of a text, one after the other, 256 at most.
+    """
+    toward, against = np.zeros(len(data), np.uint64), np.zeros(len(data), np.uint64)
+    ends = np.cumsum(size)
+    cuts = np.r_[0, np.searchsorted(ends, np.arange(PART, len(order), PART)), len(size)]
+    ends = np.r_[0, ends][cuts]
+    for g, h, lo, hi in zip(cuts[:-1], cuts[1:], ends[:-1], ends[1:], strict=True):
+        _part(data, order[lo:hi], size[g:h], toward, against)
+    return toward, against
+
+
+def _part(data, order, size, toward, against) -> None:
+    byte, low = data[order], np.zeros(len(size), np.int64)
+    while len(order):  # groups of bytes at one node; each goes on to the bit where its bytes part
+        first = np.cumsum(size) - size
+        g = np.repeat(np.arange(len(size)), size)
+        rank = np.arange(len(order)) - first[g]
+        parts = COMMON[np.bitwise_or.reduceat(byte ^ byte[first][g], first)]
+        toward[order] += rank.view(np.uint64) * ONES[low, parts][g]
+        wide = np.flatnonzero((parts < 8)[g])
+        if not len(wide):
+            break
+        order, byte, rank, g = order[wide], byte[wide], rank[wide], g[wide]
+        bit = (byte >> (7 - parts).astype(np.uint8)[g] & 1).view(bool)
+        ones = np.cumsum(bit)
+        go = np.flatnonzero(parts < 8)
+        size, parts = size[go], parts[go]
+        end = np.cumsum(size)
+        first = end - size
+        before = ones[first] - bit[first]
+        high = ones[end - 1] - before
+        g = np.repeat(np.arange(len(size)), size)
+        ones -= before[g] + bit
+        same = np.where(bit, ones, rank - ones)
+        one = FIRST_BYTE[parts][g]
+        toward[order] += same.view(np.uint64) * one
+        against[order] += (rank - same).view(np.uint64) * one
+        to = same + first[g] + bit * (size - high)[g]
+        order, byte = _put(order, to), _put(byte, to)
+        size = np.column_stack([size - high, high]).ravel()
+        low = np.repeat(parts + 1, 2)
+        more = size > 1
+        keep = np.flatnonzero(np.repeat(more, size))
+        order, byte, size, low = order[keep], byte[keep], size[more], low[more]
+
+
+def _move_large(flat: np.ndarray, data: np.ndarray, order: np.ndarray, size: np.ndarray, m: int) -> None:
+    """The same for contexts that a text has more often, bit by bit with whole counts."""
+    byte = data[order]
+    for j in range(8):
+        first = np.cumsum(size) - size
+        rank = np.arange(len(order)) - np.repeat(first, size)
+        bit = (byte >> (7 - j) & 1).astype(bool)
+        ones = np.cumsum(bit) - bit
+        ones -= np.repeat(ones[first], size)
+        same = np.where(bit, ones, rank - ones)
+        at = (order << 3) + j
+        old = flat[at].view(np.uint8)
+        p, strength = CHANCE[old], np.where(old == 128, 2 * SMOOTH[m], HISTORY[m])
+        value = SCALE * np.log((strength * p + same) / (strength * (1 - p) + rank - same))
+        flat[at] = np.clip(np.rint(value), -127, 127)  # what has no bits before stays as it was; of unseen contexts, 0
+        high = np.add.reduceat(bit, first, dtype=np.int64)
+        to = np.repeat(first, size) + same + np.where(bit, np.repeat(size - high, size), 0)
+        order, byte = _put(order, to), _put(byte, to)
+        size = np.column_stack([size - high, high]).ravel()
+        size = size[size > 0]
+
+
+def _put(x: np.ndarray, to: np.ndarray) -> np.ndarray:
+    out = np.empty_like(x)
+    out[to] = x
+    return out
 
 
 def _places(cell: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -252,33 +393,41 @@ def _places(cell: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return x[first], place
 
 
-def _scores(data: np.ndarray, at: np.ndarray, odds: list[np.ndarray]) -> np.ndarray:
-    """log10 probabilities of texts laid end to end; ``odds`` has eight signed bytes a byte and predictor, in one number."""
+def _scores(data: np.ndarray, at: np.ndarray, odds: list[np.ndarray], refine: bool = False) -> np.ndarray:
+    """log10 probabilities of texts laid end to end; ``odds`` has eight signed bytes a byte and predictor, in one number.
+
+    ``refine``: the mixed log-odds get a correction that the text's earlier blocks taught for their bit place and range.
+    """
     n = len(at) - 1
     length = np.diff(at)
     total = np.zeros(n)
     weight = np.broadcast_to(np.array(START_WEIGHTS, np.float32) / np.float32(SCALE), (8, n, PREDICTORS)).copy()
     bias = np.zeros((8, n), np.float32)
+    # Each range's correction and the doubt resolved about it so far.
+    ranges = np.zeros((2, 8, n * RANGES), np.float32) if refine else None
     lo, size = 0, FIRST_BLOCK
     while (length > lo).any():
         # A text's last block changes no weight that is used again.
         for active, goes_on in ((np.flatnonzero(length > lo + size), True), (np.flatnonzero((length > lo) & (length <= lo + size)), False)):
             if len(active):
                 rate = RATE / math.sqrt(1 + lo / FIRST_BLOCK) if goes_on else 0.0
-                total[active] -= _block(data, odds, at[active] + lo, np.minimum(length[active] - lo, size), active, weight, bias, rate)
+                total[active] -= _block(data, odds, at[active] + lo, np.minimum(length[active] - lo, size), active, weight, bias, rate, ranges)
         lo += size
         if lo >= 2 * FIRST_BLOCK:
             size = lo  # blocks double
     return total / math.log(10)
 
 
-def _block(data, odds, start, count, active, weight, bias, rate: float) -> np.ndarray:
-    """Natural logarithms of 1 / p of a block of each active text; changes their weights where rate is not 0."""
+def _block(data, odds, start, count, active, weight, bias, rate: float, ranges=None) -> np.ndarray:
+    """Natural logarithms of 1 / p of a block of each active text; changes their weights and, if there are any, the
+    corrections of ranges where rate is not 0."""
     first = np.r_[0, np.cumsum(count)[:-1]]
     where = np.repeat(start - first, count) + np.arange(count.sum())
     byte = data[where]
     mine = [o[where].view(np.int8).reshape(-1, 8) for o in odds]
     against = np.ones(len(where), np.float32)
+    if ranges is not None:
+        row = np.repeat(active * RANGES + RANGES // 2, count)
     for j in range(8):
         toward = [o[:, j].astype(np.float32) for o in mine]
         sign = (byte >> (7 - j) & 1).astype(np.float32) * 2 - 1
@@ -287,9 +436,15 @@ def _block(data, odds, start, count, active, weight, bias, rate: float) -> np.nd
         for k in range(PREDICTORS):
             z += np.repeat(w[:, k], count) * toward[k]
         # 1 / p(bit) is 1 + exp(-z), z in favour of the bit; z stays within 10, so eight factors fit a float.
-        e = np.exp(np.negative(np.clip(z, -10, 10, out=z), out=z), out=z)
+        np.clip(z, -10, 10, out=z)
+        if ranges is not None:
+            against *= _refined(z, sign, row, ranges[:, j], rate)
+            if not rate:
+                continue
+        e = np.exp(np.negative(z, out=z), out=z)
         one = 1 + e
-        against *= one
+        if ranges is None:
+            against *= one
         if rate:
             miss = np.divide(e, one, out=e)  # 1 - p(bit)
             speed = rate / count
@@ -299,12 +454,25 @@ def _block(data, odds, start, count, active, weight, bias, rate: float) -> np.nd
     return np.add.reduceat(np.log(against).astype(np.float64), first)
 
 
-def scores_by(model: list[tuple[np.ndarray, np.ndarray]], texts: list[bytes]) -> np.ndarray:
+def _refined(z, sign, row, ranges, rate: float) -> np.ndarray:
+    """1 / p of the bits by corrected log-odds; where rate is not 0 each range learns from its bits, a Newton step a block."""
+    change, mass = ranges
+    of = row + np.rint(z * sign).astype(np.int64)
+    e = np.exp(-np.clip(z + change[of] * sign, -10, 10))
+    one = 1 + e
+    if rate:
+        miss = e / one
+        mass += np.bincount(of, miss * (1 - miss), len(mass))
+        change += np.bincount(of, miss * sign, len(mass)) / (mass + DOUBT)
+    return one
+
+
+def scores_by(model: list[tuple[np.ndarray, np.ndarray]], texts: list[bytes], adapt: bool = False) -> np.ndarray:
     """Scores of texts by the whole counts of a small model."""
     chunk = Chunk()
     chunk.add(texts)
     needs = chunk.needs()
-    return next(chunk.scores(needs, [odds_toward(*counts, need, smooth) for counts, need, smooth in zip(model, needs, SMOOTH, strict=True)]))
+    return next(chunk.scores(needs, [odds_toward(*counts, need, smooth) for counts, need, smooth in zip(model, needs, SMOOTH, strict=True)], adapt))
 
 
 def held_out(doc_id):
@@ -494,13 +662,14 @@ def _odds_of_answers(needs: list[np.ndarray], answers: dict[int, bytes]) -> list
     return out
 
 
-def score(docs: DataFrame) -> DataFrame:
+def score(docs: DataFrame, adapt: bool = False) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, n_bytes, bits_per_byte of every row.
 
     Texts whose crc32(doc_id as text) mod 5 is 1 are held out; all others train, copies as often as they stand. Null texts
     count as empty: their end is scored. A null doc_id counts as the empty text. Repeated rows stay, each on its own; an
     empty table gives no rows; other columns are not read. ``score`` is the log10 probability of
-    the text's bytes, with A-Z lower-cased, and its end.
+    the text's bytes, with A-Z lower-cased, and its end. ``adapt``: the predictors take in the text's bits as they come and
+    the mixed probability is refined; without it they stay as trained, and only the weights change.
     """
     spark = docs.sparkSession
     trained = materialize(_train(docs))
@@ -525,7 +694,7 @@ def score(docs: DataFrame) -> DataFrame:
         def done():
             needs = chunk.needs()
             odds = _odds_of_answers(needs, answers)
-            for part, scores in zip(parts, chunk.scores(needs, odds), strict=True):
+            for part, scores in zip(parts, chunk.scores(needs, odds, adapt), strict=True):
                 yield scored(*part, scores, *frequent)
             give_back()
 

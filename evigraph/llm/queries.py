@@ -26,7 +26,7 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lm_scoring.score(_read(spark, sf_dir, "documents"))
+    return lm_scoring.score(_read(spark, sf_dir, "documents"), adapt=True)
 
 
 def op5_pow2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -142,3 +142,95 @@ def test_words_of_odd_texts():
     assert size.tolist() == [len(t.split()) + 1 for t in texts] and len(names) == len(want)
     assert len(set(zip(names.tolist(), want, strict=True))) == len(set(names.tolist())) == len(set(want))
     assert {n for n, w in zip(names.tolist(), want, strict=True) if w is None} == {lm_scoring.END_NAME}
+
+
+def plain_adapted_scores(train, texts):
+    """As plain_scores, and the predictors take in each bit after it, and ranges of the mixed log-odds are corrected."""
+    lm, clip = lm_scoring, lambda x, most: max(-most, min(most, x))
+    counts = [defaultdict(Counter) for _ in range(3)]
+    for t in train:
+        t += b"\0"
+        for i in range(len(t)):
+            for c, ctx in zip(counts, before(t, i), strict=True):
+                c[ctx][t[i]] += 1
+    sure = lambda x: 1 / (1 + math.exp(-x))
+    out = []
+    for t in texts:
+        t += b"\0"
+        own = [defaultdict(lambda: [0, 0]) for _ in range(3)]  # bits seen at (context, leading bits)
+        w, bias = [[x / lm.SCALE for x in lm.START_WEIGHTS] for _ in range(8)], [0.0] * 8
+        change, mass = np.zeros((8, lm.RANGES)), np.zeros((8, lm.RANGES))
+        total, lo, size = 0.0, 0, lm.FIRST_BLOCK
+        while lo < len(t):
+            hi = min(lo + size, len(t))
+            step, tilt, learned, doubt = np.zeros((8, 3)), np.zeros(8), np.zeros((8, lm.RANGES)), np.zeros((8, lm.RANGES))
+            for i in range(lo, hi):
+                ctxs = before(t, i)
+                trained = []
+                for c, ctx, smooth in zip(counts, ctxs, lm.SMOOTH, strict=True):
+                    row = []
+                    for j in range(8):
+                        n = [smooth, smooth]
+                        for b, k in c.get(ctx, {}).items():
+                            if b >> (8 - j) == t[i] >> (8 - j):
+                                n[b >> (7 - j) & 1] += k
+                        row.append(clip(round(lm.SCALE * math.log(n[1] / n[0])), 127))
+                    trained.append(row)
+                for j in range(8):
+                    bit, odds = t[i] >> (7 - j) & 1, []
+                    for m in range(3):
+                        node = own[m][ctxs[m], j, t[i] >> (8 - j)]
+                        o = trained[m][j]
+                        if sum(node):
+                            strength, p = lm.HISTORY[m] if any(trained[m]) else 2 * lm.SMOOTH[m], sure(o / lm.SCALE)
+                            o = clip(round(lm.SCALE * math.log((strength * p + node[1]) / (strength * (1 - p) + node[0]))), 127)
+                        odds.append(o)
+                        node[bit] += 1
+                    z = clip(bias[j] + sum(a * o for a, o in zip(w[j], odds, strict=True)), 10)
+                    p, r = sure(z), round(z) + lm.RANGES // 2
+                    q = sure(clip(z + change[j][r], 10))
+                    total += math.log10(q if bit else 1 - q)
+                    learned[j][r] += bit - q
+                    doubt[j][r] += q * (1 - q)
+                    tilt[j] += bit - p
+                    step[j] += [(bit - p) * o for o in odds]
+            mass += doubt
+            change += learned / (mass + lm.DOUBT)
+            rate = lm.RATE / math.sqrt(1 + lo / lm.FIRST_BLOCK) / (hi - lo)
+            for j in range(8):
+                bias[j] += 0.3 * rate * tilt[j]
+                w[j] = [a + rate * 0.02 / lm.SCALE * g for a, g in zip(w[j], step[j], strict=True)]
+            lo += size
+            size = lo if lo >= 2 * lm.FIRST_BLOCK else size
+        out.append(total)
+    return out
+
+
+def test_the_query_adapts_and_refines(spark, docs, texts, tmp_path):
+    """op4's scores on nulls, empty and long texts, copies and contexts met over 256 times, against the loop."""
+    from evigraph.llm import queries
+
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    lower = [(t or "").encode().lower() for _, t in texts]
+    train = [t for (k, _), t in zip(texts, lower, strict=True) if zlib.crc32(("" if k is None else str(k)).encode()) % 5 != 1]
+    want = plain_adapted_scores(train, lower)
+    got = sorted((str(r.doc_id), r.n_bytes, r.score) for r in queries.op4_lm_scoring(spark, str(tmp_path)).collect())
+    want = sorted((str(k), len(t), s) for (k, _), t, s in zip(texts, lower, want, strict=True))
+    assert [g[:2] for g in got] == [w[:2] for w in want]
+    assert [g[2] for g in got] == pytest.approx([w[2] for w in want], rel=2e-4)
+
+
+def test_own_bits_are_those_of_a_loop(monkeypatch):
+    """Small parts, contexts that repeat little and much: what stands before a bit at its node is counted by a dictionary."""
+    monkeypatch.setattr(lm_scoring, "PART", 50)
+    rng = np.random.default_rng(8)
+    data = rng.choice(np.array([0, 32, 97, 98, 101, 225, 255], np.uint8), 700)
+    context = rng.choice(90, 700, p=np.r_[0.3, np.full(89, 0.7 / 89)])
+    order = np.argsort(context, kind="stable")
+    toward, against = lm_scoring._own_bits(data, order, np.bincount(context)[np.unique(context)])
+    seen = defaultdict(lambda: [0, 0])
+    for i, (c, b) in enumerate(zip(context.tolist(), data.tolist(), strict=True)):
+        for j in range(8):
+            node, bit = seen[c, j, b >> (8 - j)], b >> (7 - j) & 1
+            assert (int(toward[i]) >> 8 * j & 255, int(against[i]) >> 8 * j & 255) == (node[bit], node[1 - bit])
+            node[bit] += 1
