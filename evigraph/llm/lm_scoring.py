@@ -21,6 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import mixer
 from .common import discard, give_back, materialize, slices, text_or_empty, worker_state
 from .parity_join import ODD
 from .suffix_dedup import POWERS, prefix_sums, span_hashes
@@ -40,6 +41,8 @@ SCALE = 12.0  # log-odds are kept as signed bytes of this resolution
 START_WEIGHTS = (0.3, 0.4, 0.3)
 RATE = 0.8
 FIRST_BLOCK = 192
+#: Bytes of a piece up to which its texts are scored by compiled code; a longer text is scored by arrays, to the same result.
+MOST_PACKED = 2_000_000
 #: How many observations a trained predictor's state counts for against the text's own bits, for each predictor.
 HISTORY = (12.0, 4.0, 4.0)
 #: Ranges of the mixed log-odds, one wide each, with a correction of their own; the doubt that holds a correction back.
@@ -236,11 +239,14 @@ class Chunk:
         """Sorted distinct cells, for each predictor."""
         return [_unique([places[m][0] for _, _, places in self.pieces]) for m in range(PREDICTORS)]
 
-    def scores(self, needs: list[np.ndarray], odds: list[np.ndarray], adapt: bool = False):
-        """The scores of each piece's texts."""
+    def scores(self, needs: list[np.ndarray], odds: list[np.ndarray], adapt: bool = False, most_packed: int = -1):
+        """The scores of each piece's texts; of pieces up to most_packed bytes, what Mixer.java needs for them."""
         odds = [np.ascontiguousarray(o).view(np.uint64).ravel() for o in odds]
         states = [_states(m) for m in range(PREDICTORS)] if adapt else None
         for data, at, places in self.pieces:
+            if len(data) <= most_packed:
+                yield _laid_out(data, at, places, [o[np.searchsorted(need, cell)] for need, o, (cell, _) in zip(needs, odds, places, strict=True)])
+                continue
             mine = [o[np.searchsorted(need, cell)][place] for need, o, (cell, place) in zip(needs, odds, places, strict=True)]
             if adapt:
                 text = np.repeat(np.arange(len(at) - 1, dtype=np.int32), np.diff(at))
@@ -249,6 +255,15 @@ class Chunk:
             yield _scores(data, at, mine, adapt)
 
 
+def _laid_out(data: np.ndarray, at: np.ndarray, places: list, odds: list[np.ndarray]) -> bytes:
+    """A piece as Mixer.java reads it. Numbers of 32 bits: how many texts, bytes and cells of each predictor, where texts
+    start, the bytes' cells, the cells' contexts (numbered); then the cells' log-odds and the bytes."""
+    head = np.r_[len(at) - 1, len(data), [len(cell) for cell, _ in places], at].astype("<i4")
+    names = [cell >> np.uint64(8) for cell, _ in places]
+    context = [np.cumsum(np.r_[False, x[1:] != x[:-1]]).astype("<i4") for x in names]
+    return b"".join((head, *(place.astype("<i4", copy=False) for _, place in places), *context, *odds, data))
+
+
 #: The probability that a signed byte of log-odds stands for; no log-odds are -128, which stands for an unseen context.
 CHANCE = 1 / (1 + np.exp(-np.r_[0:128, 0, -127:0] / SCALE))
 NOT_SEEN = np.uint64(0x8080808080808080)
@@ -681,7 +696,10 @@ def score(docs: DataFrame, adapt: bool = False) -> DataFrame:
     log = lambda c: np.log10((c + 0.5) / denominator)
     model = spark.sparkContext.broadcast((top["k"].to_numpy(np.int64), top["c"].to_numpy(np.int64)))
     key = uuid.uuid4().hex
-    schema = "doc_id bigint, held_out boolean, n_bytes bigint, n_tokens bigint, known bigint, part double, score double, rare array<struct<k:bigint,n:int>>"
+    fields = "doc_id:bigint,held_out:boolean,n_bytes:bigint,n_tokens:bigint,known:bigint,part:double,rare:array<struct<k:bigint,n:int>>"
+    schema = f"docs array<struct<{fields}>>, scores array<double>, piece binary"
+    constants = [PREDICTORS, RANGES, FIRST_BLOCK, SCALE, RATE, DOUBT, *START_WEIGHTS, *SMOOTH, *HISTORY]
+    most_packed = MOST_PACKED if adapt else -1
 
     def _state():
         k, c = model.value
@@ -694,8 +712,12 @@ def score(docs: DataFrame, adapt: bool = False) -> DataFrame:
         def done():
             needs = chunk.needs()
             odds = _odds_of_answers(needs, answers)
-            for part, scores in zip(parts, chunk.scores(needs, odds, adapt), strict=True):
-                yield scored(*part, scores, *frequent)
+            for part, found in zip(parts, chunk.scores(needs, odds, adapt, most_packed), strict=True):
+                docs = described(*part, *frequent)
+                packed = isinstance(found, bytes)
+                scores = pa.nulls(1, pa.list_(pa.float64())) if packed else pa.ListArray.from_arrays(pa.array([0, len(found)], pa.int32()), pa.array(found))
+                whole = pa.ListArray.from_arrays(pa.array([0, len(docs)], pa.int32()), docs)
+                yield pa.RecordBatch.from_arrays([whole, scores, pa.array([found if packed else None], pa.binary())], names=["docs", "scores", "piece"])
             give_back()
 
         for batch in batches:
@@ -714,7 +736,7 @@ def score(docs: DataFrame, adapt: bool = False) -> DataFrame:
         if parts:
             yield from done()
 
-    def scored(doc_id, held, length, names, size, scores, k, value):
+    def described(doc_id, held, length, names, size, k, value):
         order = np.argsort(names)
         x = names[order]
         new = _news(x)
@@ -730,8 +752,8 @@ def score(docs: DataFrame, adapt: bool = False) -> DataFrame:
         miss = names[~hit]
         miss_n = np.add.reduceat(~hit, first, dtype=np.int64)
         rare = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(miss_n)].astype(np.int32)), pa.StructArray.from_arrays([pa.array(miss), pa.array(np.ones(len(miss), np.int32))], names=["k", "n"]))
-        cols = [doc_id, held, length, pa.array(size), pa.array(np.add.reduceat(hit, first, dtype=np.int64)), pa.array(np.add.reduceat(base, first)), pa.array(scores), rare]
-        return pa.RecordBatch.from_arrays(cols, names=["doc_id", "held_out", "n_bytes", "n_tokens", "known", "part", "score", "rare"])
+        cols = [doc_id, held, length, pa.array(size), pa.array(np.add.reduceat(hit, first, dtype=np.int64)), pa.array(np.add.reduceat(base, first)), rare]
+        return pa.StructArray.from_arrays(cols, names=["doc_id", "held_out", "n_bytes", "n_tokens", "known", "part", "rare"])
 
     summed = materialize(_summed(trained.filter("kind = 1").select("k", "blob")))
     discard(trained)
@@ -739,6 +761,9 @@ def score(docs: DataFrame, adapt: bool = False) -> DataFrame:
     answers = _answered(asked, summed)
     rows = answers.select("chunk", F.lit(0).alias("kind"), "k", "blob").unionByName(asked.filter("kind = 1"))
     rows = rows.repartition("chunk").sortWithinPartitions("chunk", "kind").mapInArrow(run, schema)
+    if adapt:
+        rows = rows.select("docs", F.coalesce("scores", F.call_function(mixer.registered(spark, constants), "piece")).alias("scores"))
+    rows = rows.select(F.inline(F.arrays_zip("docs", "scores"))).select("docs.*", F.col("scores").alias("score"))
     rows = materialize(rows.withColumn("uid", F.monotonically_increasing_id()))
     discard(summed, asked)
     rare = rows.select("uid", F.inline("rare")).join(words, "k", "left").groupBy("uid").agg(F.sum(F.when(F.col("c") > 0, F.col("n")).otherwise(0)).alias("rare_known"), F.sum(F.col("n") * F.log10((F.coalesce("c", F.lit(0)) + 0.5) / F.lit(denominator))).alias("rare_part"))

@@ -234,3 +234,16 @@ def test_own_bits_are_those_of_a_loop(monkeypatch):
             node, bit = seen[c, j, b >> (8 - j)], b >> (7 - j) & 1
             assert (int(toward[i]) >> 8 * j & 255, int(against[i]) >> 8 * j & 255) == (node[bit], node[1 - bit])
             node[bit] += 1
+
+
+def test_compiled_and_array_scores_are_equal(spark, docs, monkeypatch):
+    """What texts of pieces small enough for the compiled loop get is what arrays give them, to the rounding of single numbers."""
+    long = " ".join(f"the {k % 97} of {k * k % 1009}" for k in range(9000)) + "ab" * 4000
+    more = docs.select("doc_id", "text").unionByName(spark.createDataFrame([(10**7, long), (10**7 + 1, "a" * 70_000), (10**7 + 5, "\x00￿" * 50)], "doc_id bigint, text string"))
+    got = {}
+    for most in (lm_scoring.MOST_PACKED, 0):
+        monkeypatch.setattr(lm_scoring, "MOST_PACKED", most)
+        got[most] = sorted((str(r.doc_id), r.n_tokens, r.n_known, r.n_bytes, r.score) for r in lm_scoring.score(more, adapt=True).collect())
+    compiled, arrays = got.values()
+    assert [x[:4] for x in compiled] == [x[:4] for x in arrays]
+    assert [x[4] for x in compiled] == pytest.approx([x[4] for x in arrays], rel=5e-5)
